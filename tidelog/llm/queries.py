@@ -8,10 +8,12 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.abuse import abuse_rates, abuse_scores
 from tidelog.llm.encode import encode_texts
 from tidelog.llm.leak import leaked_passages, near_passages
 from tidelog.runtime import table
 
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of a public vocabulary file: in TIDELOG_TOKENIZERS, or where the installed package of vocabularies is."""
     folder = os.environ.get("TIDELOG_TOKENIZERS")
@@ -34,8 +36,20 @@ def p8_near(spark: SparkSession, d: str) -> DataFrame:
     return near_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "documents"), "doc_id", "text").where("is_abusive").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_rates(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_found, p8_near)}
+    return {f.__name__: f for f in (p7_ids, p8_found, p8_near, p9_found, p9_scores, p9_rates)}
 
 
 SQL: dict[str, str] = {}
