@@ -21,12 +21,12 @@ def key_counts(df: DataFrame, keys: Sequence[str], count: str = "n_rows") -> Dat
 def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """(key, n_rows, n_total): keys, neither null nor empty, with at least ``share`` of all rows.
 
-    All rows count in n_total, whatever their key. An empty table has no heavy keys. The total is taken from the
-    partial counts, so the table is read once.
+    All rows count in n_total, whatever their key. An empty table has no heavy keys. The total needs no column, so for
+    it only the files' row counts are read.
     """
     part = Fraction(str(share))
     counts = key_counts(df.select(F.col(key).alias("_key")), ["_key"])
-    total = counts.agg(F.sum("n_rows").alias("n_total"))  # one row
+    total = df.agg(F.count("*").alias("n_total"))  # one row
     return (
         counts.where(F.col("_key").isNotNull() & (F.col("_key") != ""))
         .join(F.broadcast(total), F.col("n_rows") * part.denominator >= F.col("n_total") * part.numerator)
