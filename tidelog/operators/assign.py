@@ -34,7 +34,8 @@ def assign_range(members: DataFrame, topics: DataFrame) -> DataFrame:
     start = F.col("i") * base + F.least("i", extra)
     length = base + F.when(F.col("i") < extra, 1).otherwise(0)
     runs = pairs.select("member", "topic", start.alias("start"), length.alias("length")).where("length > 0")
-    return runs.select("member", "topic", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).cast("int").alias("partition"))
+    ids = F.sequence(F.col("start").cast("int"), (F.col("start") + F.col("length") - 1).cast("int"))
+    return runs.select("member", "topic", F.explode(ids).alias("partition"))
 
 
 def assign_round_robin(members: DataFrame, topics: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def assign_sticky(members: DataFrame, topics: DataFrame, previous: DataFrame) ->
     """
     ranks = _ranked_members(members)
     whole = universe(topics)
-    shares = F.broadcast(whole.agg(F.count("*").alias("p")).crossJoin(ranks.agg(F.count("*").alias("m"))).select(F.ceil(F.col("p") / F.col("m")).alias("share")))
+    shares = F.broadcast(whole.agg(F.count("*").alias("p")).crossJoin(ranks.agg(F.count("*").alias("m"))).select(F.ceil(F.col("p") / F.greatest("m", F.lit(1))).alias("share")))
     valid = previous.join(ranks.select("member"), "member").join(whole, ["topic", "partition"])
     claim = Window.partitionBy("topic", "partition").orderBy("member", "topic_pos")
     claims = valid.withColumn("_c", F.row_number().over(claim)).where("_c = 1").drop("_c")

@@ -63,8 +63,8 @@ MEMBERS = "mem AS (SELECT n_name AS member, row_number() OVER (ORDER BY n_name)
 UNIVERSE = "uni AS (SELECT topic, unnest(range(0, num_partitions))::INT AS partition FROM topics)"
 RANGE = """pairs AS (SELECT member, topic, num_partitions // m AS base, num_partitions % m AS extra, i FROM mem, topics),
 rng AS (SELECT member, topic, unnest(range(i * base + least(i, extra), i * base + least(i, extra) + base + (i < extra)::INT))::INT AS partition FROM pairs)"""
-ROBIN = """deal AS (SELECT *, row_number() OVER (ORDER BY topic, partition) - 1 AS at FROM uni),
-rob AS (SELECT member, topic, partition FROM deal JOIN mem ON at % m = i)"""
+ROBIN = """deal AS (SELECT *, row_number() OVER (ORDER BY topic, partition) - 1 AS place FROM uni),
+rob AS (SELECT member, topic, partition FROM deal JOIN mem ON place % m = i)"""
 STICKY = """share AS (SELECT ceil((SELECT count(*) FROM uni) / (SELECT count(*) FROM now))::BIGINT AS s),
 keep AS (SELECT member, topic, partition FROM prev JOIN now USING (member) JOIN uni USING (topic, partition)
   QUALIFY row_number() OVER (PARTITION BY member ORDER BY topic, partition) <= (SELECT s FROM share)),
