@@ -56,7 +56,7 @@ def _entities(kinds: Sequence[Entity], owner: str, number: str) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    states = F.array_sort(F.collect_set("state"))
+    states = F.sort_array(F.collect_set("state"))
     return (
         rows.where(F.col("owner").isNotNull() & F.col("no").isNotNull() & F.col("id").isNotNull())
         .groupBy("owner", "no", "kind", "id")
