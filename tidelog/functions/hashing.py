@@ -1,58 +1,56 @@
-"""MurmurHash2 of keys and the partition it selects, as column expressions inside the JVM."""
+"""MurmurHash2 of keys and the partition it selects."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Fixed values of the public MurmurHash2 function with its usual seed.
 SEED = 0x9747B28C
 MULTIPLIER = 0x5BD1E995
-MASK = 0xFFFFFFFF
 
 
-def _times(a: Column) -> Column:
-    """a * MULTIPLIER modulo 2^32; the product of 32-bit values stays within 63 bits."""
-    return (a * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK))
-
-
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it occurs there."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _number(digits: Column, at: Column, n: int) -> Column:
-    """The number of n hexadecimal digits from place ``at`` on, counted from 0."""
-    return F.conv(F.substr(digits, at + 1, F.lit(n)), 16, 10).cast("long")
-
-
-def _swapped(w: Column) -> Column:
-    """The four bytes of a 32-bit value in opposite order."""
-    low = w.bitwiseAND(0xFF) * 0x1000000 + w.bitwiseAND(0xFF00) * 0x100
-    return low + F.shiftright(w, 8).bitwiseAND(0xFF00) + F.shiftright(w, 24)
+def murmur2_of(keys: list[bytes]) -> np.ndarray:
+    """Signed 32-bit hashes. All keys are mixed block by block together, as long as they have blocks."""
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+    starts = np.cumsum(lengths) - lengths
+    data = np.frombuffer(b"".join(keys) + b"\0" * 4, np.uint8).astype(np.uint32)
+    m = np.uint32(MULTIPLIER)
+    h = np.uint32(SEED) ^ lengths.astype(np.uint32)
+    live, i = np.flatnonzero(lengths >= 4), 0
+    with np.errstate(over="ignore"):
+        while len(live):
+            at = starts[live] + 4 * i
+            k = data[at] | data[at + 1] << np.uint32(8) | data[at + 2] << np.uint32(16) | data[at + 3] << np.uint32(24)
+            k = k * m
+            k = (k ^ (k >> np.uint32(24))) * m
+            h[live] = (h[live] * m) ^ k
+            i += 1
+            live = live[lengths[live] >= 4 * (i + 1)]
+        at, rest = starts + lengths // 4 * 4, lengths % 4
+        for n in (2, 1, 0):
+            h = np.where(rest > n, h ^ (data[np.minimum(at + n, len(data) - 1)] << np.uint32(8 * n)), h)
+        h = np.where(rest > 0, h * m, h)
+        h = (h ^ (h >> np.uint32(13))) * m
+        h = h ^ (h >> np.uint32(15))
+    return h.view(np.int32)
+
+
+@F.pandas_udf(IntegerType())
+def _murmur2(keys: pd.Series) -> pd.Series:
+    return pd.Series(murmur2_of([k.encode() for k in keys]))
 
 
 def murmur2(key: Column) -> Column:
-    """Signed 32-bit hash of the key's UTF-8 bytes; 0 for null."""
-    digits, n = F.hex(F.encode(key, "UTF-8")), F.octet_length(key).cast("long")
-
-    def block(h: Column, i: Column) -> Column:
-        mixed = _let(
-            _let(_number(digits, (i * 8).cast("int"), 8), lambda w: _times(_swapped(w))), lambda k: _times(k.bitwiseXOR(F.shiftright(k, 24)))
-        )
-        return _times(h).bitwiseXOR(mixed)
-
-    zero = F.lit(0).cast("long")
-    blocks = F.when(n >= 4, F.sequence(zero, F.floor(n / 4) - 1)).otherwise(F.array().cast("array<bigint>"))
-    start, rest = (F.floor(n / 4) * 8).cast("int"), n % 4
-    tail = F.when(rest >= 3, _number(digits, start + 4, 2) * 0x10000).otherwise(zero)
-    tail = tail + F.when(rest >= 2, _number(digits, start + 2, 2) * 0x100).otherwise(zero)
-    tail = tail + F.when(rest >= 1, _number(digits, start, 2)).otherwise(zero)
-    h = F.aggregate(blocks, F.lit(SEED).cast("long").bitwiseXOR(n), block)
-    h = _let(h, lambda x: F.when(rest > 0, _times(x.bitwiseXOR(tail))).otherwise(x))
-    h = _let(h, lambda x: _times(x.bitwiseXOR(F.shiftright(x, 13))))
-    h = _let(h, lambda x: x.bitwiseXOR(F.shiftright(x, 15)))
-    return F.coalesce(_let(h, lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x)), zero).cast("int")
+    """Signed 32-bit hash of the key's UTF-8 bytes; 0 for null.
+
+    The function has no expression of its own in Spark, and one put together of others is interpreted byte by byte, so
+    whole Arrow batches are hashed at a time.
+    """
+    return F.when(key.isNull(), 0).otherwise(_murmur2(F.coalesce(key, F.lit(""))))
 
 
 def key_partition(key: Column, partitions: Column, first: Column | int = 0) -> Column:
