@@ -29,7 +29,11 @@ def _ranked_members(members: DataFrame) -> DataFrame:
 
 def assign_range(members: DataFrame, topics: DataFrame) -> DataFrame:
     """Each topic is cut into one run per sorted member; the first ones get one more where it doesn't divide evenly."""
-    pairs = F.broadcast(_ranked_members(members)).crossJoin(topics.select("topic", "num_partitions").where(F.col("num_partitions") > 0))
+    ranks = _ranked_members(members)
+    m = ranks.agg(F.max("m").alias("m"))  # one row
+    served = topics.where(F.col("num_partitions") > 0).crossJoin(F.broadcast(m)).where("m > 0")
+    pairs = served.select("topic", "num_partitions", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m"), F.col("num_partitions").cast("long")) - 1)).alias("i"))
+    pairs = pairs.join(ranks.select("member", F.col("i").cast("long").alias("i")), "i")
     base, extra = F.floor(F.col("num_partitions") / F.col("m")), F.col("num_partitions") % F.col("m")
     start = F.col("i") * base + F.least("i", extra)
     length = base + F.when(F.col("i") < extra, 1).otherwise(0)

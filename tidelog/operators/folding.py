@@ -12,8 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidelog.runtime import cut, small
 
 
 
@@ -78,26 +83,18 @@ def fill_block(sizes: np.ndarray, cap: int, fill: int) -> tuple[np.ndarray, np.n
     return opened, before
 
 
-def greedy_fill(df: DataFrame, keys: Sequence[str], order: str, size: str, cap: int, bin_name: str, before_name: str, block: int = 1 << 17) -> DataFrame:
-    """Adds ``bin_name`` (0, 1... within keys) and ``before_name`` (bytes of the bin before the record).
-
-    A record goes into the open bin if it fits (reaching ``cap`` exactly is allowed), else opens a new one. Records larger
-    than ``cap`` fit no bin and are left out, as are rows without ``order`` or ``size``; they don't close the open bin.
-    """
-    rows = df.where(F.col(order).isNotNull() & (F.col(size) <= cap)).withColumn("_block", F.floor(F.col(order) / block))
-    slim = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_block", F.col(order).alias("_order"), F.col(size).cast("long").alias("_size"))
-    ks = [f"_k{i}" for i in range(len(keys))]
-    ktypes = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in ks)
+def _entry_states(slim: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
+    """(keys..., _block, _fill, _base) of rows (keys..., _block, _order, _size): the state each block is entered with."""
+    types = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys)
 
     def head(pdf: pd.DataFrame, n: int = 1) -> dict:
-        return {k: [pdf[k].iloc[0]] * n for k in ks}
+        return {k: [pdf[k].iloc[0]] * n for k in keys}
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         steps = block_summary(pdf.sort_values("_order")["_size"].to_numpy(), cap)
         return pd.DataFrame(head(pdf) | {"_block": [pdf["_block"].iloc[0]], "steps": [[list(s) for s in steps]]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A fill above cap opens a bin with the very first record: the state before any record.
         fill, bins, fills, bases = cap + 1, 0, [], []
         pdf = pdf.sort_values("_block")
         for steps in pdf["steps"]:
@@ -107,23 +104,38 @@ def greedy_fill(df: DataFrame, keys: Sequence[str], order: str, size: str, cap:
             bins += opened
         return pd.DataFrame(head(pdf, len(pdf)) | {"_block": pdf["_block"].to_numpy(), "_fill": fills, "_base": bases})
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        opened, before = fill_block(pdf["_size"].to_numpy(), cap, int(pdf["_fill"].iloc[0]))
-        return pd.DataFrame(
-            head(pdf, len(pdf)) | {"_order": pdf["_order"].to_numpy(), bin_name: opened + pdf["_base"].to_numpy() - 1, before_name: before}
-        )
+    summaries = slim.groupBy(*keys, "_block").applyInPandas(summarise, f"{types}, _block long, steps array<array<long>>")
+    return summaries.groupBy(*keys).applyInPandas(chain, f"{types}, _block long, _fill long, _base long")
 
-    summaries = slim.groupBy(*ks, "_block").applyInPandas(summarise, f"{ktypes}, _block long, steps array<array<long>>")
-    states = summaries.groupBy(*ks).applyInPandas(chain, f"{ktypes}, _block long, _fill long, _base long")
-    filled = (
-        slim.join(states, [*ks, "_block"])
-        .groupBy(*ks, "_block")
-        .applyInPandas(apply, f"{ktypes}, _order long, {bin_name} long, {before_name} long")
-    )
-    on = rows[order] == filled["_order"]
-    for k, s in zip(keys, ks, strict=True):
-        on = on & (rows[k] == filled[s])
-    return rows.join(filled, on).select(*[rows[c] for c in df.columns], bin_name, before_name)
 
+def greedy_fill(df: DataFrame, keys: Sequence[str], order: str, size: str, cap: int, bin_name: str, before_name: str, block: int = 1 << 17) -> DataFrame:
+    """Adds ``bin_name`` (0, 1... within keys) and ``before_name`` (bytes of the bin before the record).
+
+    A record goes into the open bin if it fits (reaching ``cap`` exactly is allowed), else opens a new one. Records larger
+    than ``cap`` fit no bin and are left out, as are rows without a key, ``order`` or ``size``; they don't close the open
+    bin. Keys with more than ``block`` rows are filled block by block.
+    """
+    rows = df.where(F.col(order).isNotNull() & (F.col(size) <= cap))
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.lit(True).alias("_hot")))
+    # A fill above cap opens a bin with the very first record: the state before any record.
+    fresh, none = F.lit(cap + 1).cast("long"), F.lit(0).cast("long")
+    if hot.isEmpty():
+        rows = rows.select("*", none.alias("_block"), fresh.alias("_fill"), none.alias("_base"))
+    else:
+        rows = rows.join(small(hot), list(keys), "left").select(*[rows[c] for c in df.columns], F.when(F.col("_hot"), F.floor(F.col(order) / block)).otherwise(none).alias("_block"), "_hot")
+        slim = rows.where("_hot").select(*keys, "_block", F.col(order).alias("_order"), F.col(size).cast("long").alias("_size"))
+        states = cut(_entry_states(slim, keys, cap))
+        rows = rows.join(small(states), [*keys, "_block"], "left").select(
+            *[rows[c] for c in df.columns], rows["_block"], F.coalesce("_fill", fresh).alias("_fill"), F.coalesce("_base", none).alias("_base")
+        )
+
+    def apply(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=[(order, "ascending")]))
+        opened, before = fill_block(t[size].cast(pa.int64()).to_numpy(), cap, t["_fill"][0].as_py())
+        out = t.drop_columns(["_block", "_fill", "_base"])
+        return out.append_column(bin_name, pa.array(opened + t["_base"][0].as_py() - 1)).append_column(before_name, pa.array(before))
 
+    schema = T.StructType([*df.schema.fields, T.StructField(bin_name, T.LongType()), T.StructField(before_name, T.LongType())])
+    return rows.groupBy(*keys, "_block").applyInArrow(apply, schema)

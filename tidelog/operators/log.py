@@ -60,8 +60,7 @@ def log_bounds(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 def segments(log: DataFrame, keys: Sequence[str], order: str, size: str, cap: int = SEGMENT) -> DataFrame:
     """Adds segment (0, 1...), segment_base_offset and byte_pos (bytes of the segment before the record)."""
     filled = greedy_fill(log, keys, order, size, cap, "segment", "byte_pos")
-    bases = filled.groupBy(*keys, "segment").agg(F.min("offset").alias("segment_base_offset"))
-    return filled.join(bases, [*keys, "segment"])
+    return filled.withColumn("segment_base_offset", F.min("offset").over(Window.partitionBy(*keys, "segment")))  # bounded by cap
 
 
 def segment_table(log: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from tidelog.operators import log as L
 from tidelog.operators.routing import known_topics, route
 from tidelog.operators.snapshots import Entity, snapshot_changes
 from tidelog.plans.reference_sql import NOW_MS, SQL  # noqa: F401
-from tidelog.runtime import cut, shared_dir, table
+from tidelog.runtime import cut, shared_dir, small, table
 from tidelog.sources.log_store import decode, encode, read_log, stream_table
 from tidelog.streaming.ingest import ingest_all
 
@@ -67,7 +67,7 @@ def partition_counts(s: SparkSession, d: str) -> DataFrame:
 
 def rejected_records(s: SparkSession, d: str) -> DataFrame:
     """Why records can't be stored, by topic, with a limit of 100 bytes for a record."""
-    rows = _sized(s, d).join(F.broadcast(table(s, d, "topics").select("topic", "num_partitions")), "topic", "left")
+    rows = _sized(s, d).join(small(table(s, d, "topics").select("topic", "num_partitions")), "topic", "left")
     marked = L.accept(rows.withColumn("target_partition", F.col("target_partition") - F.when(F.col("size_bytes") % 5 == 0, 1).otherwise(0)), "size_bytes", "target_partition", "num_partitions", 100)
     return marked.groupBy("topic", "reject").agg(F.count("*").alias("n"))
 

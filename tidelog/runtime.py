@@ -53,3 +53,9 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if the (already cut) table has at most ``rows`` rows; else leaves the join to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input of expensive Python work over all cores: rows are dealt out only if there are fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
