@@ -9,6 +9,7 @@ passages reaches the threshold. Its score is its whole weight per hundred words.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import lexicon
+from tidelog.runtime import spread
 
 THRESHOLD = 1.0
 #: Words between a name and the cue that somebody is meant by it.
@@ -34,18 +36,18 @@ _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _HIDDEN = regex.compile(r"[\p{Cf}­️͏]+")
 _MARK = regex.compile(r"(?<=[\p{Latin}\p{Greek}\p{Cyrillic}])\p{M}+")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}@$!013457]([ .\-_·,/]))(?:[\p{L}@$!013457]\1){1,30}[\p{L}@$!013457](?![\p{L}\p{N}])")
-_LEET = regex.compile(rf"[\p{{L}}{_SIGNS}]*(?:\p{{L}}[{_SIGNS}]|[{_SIGNS}]\p{{L}})[\p{{L}}{_SIGNS}]*")
-_MIXED = regex.compile(rf"\p{{L}}[{_SIGNS}]|[{_SIGNS}]\p{{L}}")
-_MIXED_ONE = regex.compile(r"\p{L}1|1\p{L}")
+_SIGN_SET = frozenset(_DIGITS)
+_TOKEN = regex.compile(rf"[\p{{L}}{_SIGNS}]+")
 _STARRED = regex.compile(rf"(?<![\p{{L}}*#•{_SIGNS}])(?=[^\s*#•]*[*#•])(?=[*#•{_SIGNS}]*\p{{L}})[\p{{L}}*#•{_SIGNS}]+")
-_LONG = regex.compile(r"(\p{L})\1{2,}")
+_LONG = re.compile(r"([^\W\d_])\1\1+")
 _END = regex.compile(r"[.!?…]+(?=\s|$|[\"'”»)\]])|[。！？]|\n\s*\n|\n(?=\s*```)")
-_NOT_WORD = regex.compile(r"[^\p{L}\p{N}.]+")
-_DOTS = regex.compile(r"(?<! )\.|\.(?! )")
+_WORDS = re.compile(r"[^\W_]+").findall
 
 
 def _plain(text: str) -> str:
     """Compatibility forms, case, invisible characters, accents and look-alike letters."""
+    if text.isascii():
+        return text.casefold()
     text = unicodedata.normalize("NFKC", text).casefold()
     text = _HIDDEN.sub("", text)
     text = _MARK.sub("", unicodedata.normalize("NFD", text))
@@ -57,7 +59,7 @@ _ALIKE_TABLE = str.maketrans(_ALIKE)
 
 
 def fold_phrase(phrase: str) -> str:
-    return " ".join(_NOT_WORD.sub(" ", _plain(phrase).replace(".", " ")).split())
+    return " ".join(_WORDS(_plain(phrase)))
 
 
 class Scorer:
@@ -120,13 +122,11 @@ class Scorer:
         text = _SPACED.sub(self._joined, text)
         variants = self._unstarred(text) if "*" in text or "#" in text or "•" in text else [text]
         variants = [_END.sub(" \x00 ", v) for v in variants]
-        if _MIXED.search(text):
-            ones = "il" if _MIXED_ONE.search(text) else "i"
-            variants = [_LEET.sub(lambda m, c=c: _leet(m.group(0).replace("1", c)), v) for v in variants for c in ones]
+        variants = [x for v in variants for x in _unleeted(v)]
         if _LONG.search(text):
             variants = [x for v in variants for x in (_LONG.sub(r"\1", v), _LONG.sub(r"\1\1", v))]
         for v in variants:
-            yield " " + " ".join(_NOT_WORD.sub(" ", v.replace(".", " ").replace("\x00", " . ")).split()) + " "
+            yield f" {' . '.join(' '.join(_WORDS(part)) for part in v.split(chr(0)))} "
 
     def passages(self, folded: str) -> list[float]:
         """Weight of each passage that has any."""
@@ -168,9 +168,22 @@ class Scorer:
         return round(best[1], 6), round(best[0], 6)
 
 
-def _leet(word: str) -> str:
+def _leet(word: str, one: str = "i") -> str:
     """Digits and signs to letters, in a word that has letters."""
-    return "".join(_DIGITS.get(c, c) for c in word) if any(c.isalpha() for c in word) else word
+    return "".join(one if c == "1" else _DIGITS.get(c, c) for c in word) if any(c.isalpha() for c in word) else word
+
+
+def _unleeted(text: str) -> list[str]:
+    """The text with digits and signs within words as letters; a second time if a one may be an i or an l."""
+    words = text.split()
+    given = list(words)
+    hidden = [k for k, w in enumerate(words) if not _SIGN_SET.isdisjoint(w) and any(map(str.isalpha, w))]
+    out = []
+    for one in "il" if any("1" in words[k] for k in hidden) else "i":
+        for k in hidden if one == "i" else [k for k in hidden if "1" in given[k]]:
+            words[k] = _TOKEN.sub(lambda m, one=one: _leet(m.group(0), one), words[k] if one == "i" else given[k])
+        out.append(" ".join(words))
+    return out
 
 
 _SCORER: list[Scorer] = []
@@ -194,7 +207,7 @@ def abuse_scores(df: DataFrame, doc_id: str, text: str, source: str | None = Non
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *([F.col(source).alias("source")] if source else []))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"id {kinds['id']}, score double, worst double" + (f", source {kinds['source']}" if source else "")
-    scored = rows.mapInArrow(_scores, schema)
+    scored = spread(rows).mapInArrow(_scores, schema)
     out = [F.col("id").alias(doc_id), "score", "worst", (F.col("worst") >= threshold).alias("is_abusive")]
     return scored.select(*out, *([F.col("source").alias(source)] if source else []))
 

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.runtime import spread
+
 #: Splits a text into words before the merges (fixed value of the public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a Python worker remembers; then it starts afresh.
@@ -169,4 +171,4 @@ def encode_texts(df: DataFrame, doc_id: str, text: str, vocabulary: str) -> Data
     """
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(vocabulary), f"id {kind}, ids array<int>").withColumnRenamed("id", doc_id)
+    return spread(rows).mapInArrow(_encode(vocabulary), f"id {kind}, ids array<int>").withColumnRenamed("id", doc_id)
