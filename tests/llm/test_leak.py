@@ -52,7 +52,7 @@ def test_against_brute_force(spark):
 def test_edges(spark):
     p = " ".join(f"q{i}" for i in range(12))
     docs = [(1, p), (1, p), (2, p.upper().replace(" ", "--")), (3, None), (4, ""), (5, " ".join(f"q{i}" for i in range(11))), (None, p), (6, "q0 q1 q2 q3 q4 q5"), (6, "x x x x x x q6 q7 q8 q9 q10 q11"), (7, "filler " * 5000 + p)]
-    items = [(1, p), (1, p), (2, None), (3, ""), (4, "q0 q1"), (None, p)]
+    items = [(1, p), (1, p), (1, "other words"), (2, None), (3, ""), (4, "q0 q1"), (None, p)]
     assert found(spark, docs, items) == {(1, 1), (2, 1), (7, 1)}
     assert found(spark, [], items) == found(spark, docs, []) == set()
 

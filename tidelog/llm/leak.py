@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.runtime import cut, shared_dir, small
+from tidelog.runtime import cut, shared_dir, small, spread
 
 #: Maximal runs of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
@@ -26,8 +26,9 @@ def words(text: Column) -> Column:
 
 
 def item_terms(items: DataFrame, item_id: str, prompt: str) -> DataFrame:
-    """(item_id, term, place): every word of every item with its place."""
-    return items.select(F.col(item_id).alias("item_id"), F.posexplode(words(F.col(prompt)))).select("item_id", F.col("col").alias("term"), F.col("pos").alias("place"))
+    """(item_id, term, place): every word of every item with its place; item_id is (id, part), part tells texts of a repeated id apart."""
+    key = F.struct(F.col(item_id).alias("id"), F.xxhash64(prompt).alias("part")).alias("item_id")
+    return items.select(key, F.posexplode(words(F.col(prompt))).alias("place", "term")).select("item_id", "term", "place")
 
 
 def build_index(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
@@ -36,11 +37,19 @@ def build_index(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> Da
     ``part`` tells the texts of a repeated ``doc_id`` apart.
     """
     path = f"{shared_dir(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
-    postings = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("part"), F.posexplode(words(F.col(text))).alias("position", "term"))
+    postings = spread(docs.select(doc_id, text)).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("part"), F.posexplode(words(F.col(text))).alias("position", "term"))
     postings.join(small(cut(terms.select("term").distinct())), "term", "left_semi").select("term", "doc_id", "part", "position").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def drop_index(index: DataFrame) -> None:
+    """Removes the files of a stored index."""
+    spark = index.sparkSession
+    for file in index.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def leaked_passages(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt", length: int = 12
 ) -> DataFrame:
@@ -56,38 +65,42 @@ def leaked_passages(
     index = build_index(docs, doc_id, text, terms)
     frequency = small(cut(index.groupBy("term").agg(F.count("*").alias("n"))))
 
-    # Windows of which every term occurs in the corpus, with their terms from the rarest to the most frequent.
-    starts = terms.select("item_id", F.col("place").alias("start")).distinct()
-    window = (
+    # Windows of which every term occurs in the corpus: their places and terms from the rarest to the most frequent.
+    ends = terms.groupBy("item_id").agg((F.max("place") - (length - 1)).alias("last"))
+    by_rarity = F.sort_array(F.collect_list(F.struct("n", "place", "term")))  # as many as a window is long
+    windows = cut(
         terms.join(frequency, "term")
         .select("item_id", "term", "n", "place", F.explode(F.sequence(F.col("place") - (length - 1), F.col("place"))).alias("start"))
-        .join(starts, ["item_id", "start"])
-        .withColumn("shift", F.col("place") - F.col("start"))
-        .withColumn("rarity", F.row_number().over(Window.partitionBy("item_id", "start").orderBy("n", "shift")))
-        .withColumn("size", F.count("*").over(Window.partitionBy("item_id", "start")))
-        .where(F.col("size") == length)
-        .select("item_id", "start", "term", "shift", "rarity")
+        .join(ends, "item_id")
+        .where(F.col("start").between(0, F.col("last")))
+        .groupBy("item_id", "start")
+        .agg(by_rarity.alias("w"))
+        .where(F.size("w") == length)
     )
-    window = cut(window)
-
-    rarest = small(window.where("rarity = 1").select("item_id", "start", "term", "shift"))
-    found = index.join(rarest, "term").select("doc_id", "part", "item_id", "start", (F.col("position") - F.col("shift")).alias("at")).where("at >= 0")
-    places = index.select("doc_id", "part", "term", "position")
-    for k in range(CONFIRM):
-        nth = small(window.where(F.col("rarity") == k + 2).select("item_id", "start", "term", "shift"))
-        found = found.join(nth, ["item_id", "start"]).withColumn("position", F.col("at") + F.col("shift"))
-        found = found.join(places, ["doc_id", "part", "term", "position"], "left_semi").select("doc_id", "part", "item_id", "start", "at")
-    found = cut(found)
-    rest = small(window.where(F.col("rarity") > CONFIRM + 1).select("item_id", "start", "term", "shift"))
+    place, term = (lambda k: F.col("w")[k]["place"].alias(f"p{k}")), (lambda k: F.col("w")[k]["term"])
+
+    # The rarest term gives the diagonals (document's position less item's place) that are looked at. Windows with the same
+    # rarest terms share their lookups: each round keeps the diagonals on which the next rarest term is in place too.
+    rarest = small(windows.select("item_id", place(0), term(0).alias("term")).distinct())
+    found = index.join(rarest, "term").select("doc_id", "part", "item_id", (F.col("position") - F.col("p0")).alias("diagonal"), "p0")
+    spots = index.select("doc_id", "part", "term", "position")
+    for k in range(1, CONFIRM + 1):
+        known = [f"p{j}" for j in range(k)]
+        step = small(windows.select("item_id", *map(place, range(k + 1)), term(k).alias("term")).distinct())
+        asked = found.join(step, ["item_id", *known]).withColumn("position", F.col("diagonal") + F.col(f"p{k}"))
+        found = asked.join(spots, ["doc_id", "part", "term", "position"], "left_semi").select("doc_id", "part", "item_id", "diagonal", *known, f"p{k}")
+    rest = windows.select("item_id", "start", *map(place, range(CONFIRM + 1)), F.explode(F.slice("w", CONFIRM + 2, length)).alias("r"))
+    rest = small(rest.select("item_id", "start", *[f"p{k}" for k in range(CONFIRM + 1)], F.col("r.place").alias("place"), F.col("r.term").alias("term")))
+    asked = cut(found).join(rest, ["item_id", *[f"p{k}" for k in range(CONFIRM + 1)]]).withColumn("position", F.col("diagonal") + F.col("place"))
     whole = (
-        found.join(rest, ["item_id", "start"])
-        .withColumn("position", F.col("at") + F.col("shift"))
-        .join(places.distinct(), ["doc_id", "part", "term", "position"])
-        .groupBy("doc_id", "part", "item_id", "start", "at")
-        .agg(F.count_distinct("shift").alias("hits"))
+        asked.join(spots, ["doc_id", "part", "term", "position"])
+        .groupBy("doc_id", "part", "item_id", "diagonal", "start")
+        .agg(F.count_distinct("place").alias("hits"))
         .where(F.col("hits") == length - 1 - CONFIRM)
     )
-    return whole.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id)).distinct()
+    result = cut(whole.select(F.col("doc_id").alias(doc_id), F.col("item_id.id").alias(item_id)).distinct())
+    drop_index(index)
+    return result
 
 
 def near_passages(
@@ -115,14 +128,16 @@ def near_passages(
     )
     rare = small(window.where(F.col("rarity") <= length - least + 1))
     found = index.join(rare, "term").select("doc_id", "part", "item_id", "start", (F.col("position") - F.col("shift")).alias("at")).distinct()
-    return (
+    result = cut(
         found.join(small(window), ["item_id", "start"])
         .withColumn("position", F.col("at") + F.col("shift"))
-        .join(index.distinct(), ["doc_id", "part", "term", "position"])
+        .join(index, ["doc_id", "part", "term", "position"])
         .groupBy("doc_id", "part", "item_id", "start", "at")
         .agg(F.count_distinct("shift").alias("n"))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", F.col("item_id.id").alias("item_id"))
         .agg(F.max("n").alias("n_terms"))
         .where(F.col("n_terms") >= least)
         .select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "n_terms")
     )
+    drop_index(index)
+    return result
