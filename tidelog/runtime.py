@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a compact side table is broadcast; beyond it the join is left to a shuffle.
-BROADCAST_ROWS = 300_000
+#: Rows and bytes up to which a compact side table is broadcast; beyond either the join is left to a shuffle.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 48 << 20
 
 
 def local_session(app: str = "tidelog", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -50,9 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast if the (already cut) table has at most ``rows`` rows; else leaves the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(f: T.StructField) -> Column:
+    """Bytes of a field's values, about."""
+    if isinstance(f.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) + 16
+    if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+        return F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast if the (already cut) table is within both bounds; else leaves the join to a shuffle."""
+    widths = [_width(f) for f in df.schema.fields]
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(sum(widths[1:], widths[0]))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def spread(df: DataFrame) -> DataFrame:
