@@ -25,20 +25,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"))
 
 
-def item_terms(items: DataFrame, item_id: str, prompt: str) -> DataFrame:
-    """(item_id, term, place): every word of every item with its place; item_id is (id, part), part tells texts of a repeated id apart."""
-    key = F.struct(F.col(item_id).alias("id"), F.xxhash64(prompt).alias("part")).alias("item_id")
-    return items.select(key, F.posexplode(words(F.col(prompt))).alias("place", "term")).select("item_id", "term", "place")
+def numbered_items(items: DataFrame, item_id: str, prompt: str) -> DataFrame:
+    """(item, id, prompt): every text of every item with a number of its own. Stored, so the numbers stay as they are."""
+    some = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("id"), F.col(prompt).alias("prompt")).distinct()
+    return cut(some.withColumn("item", F.monotonically_increasing_id()))
 
 
-def build_index(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
-    """Stores and returns the postings (term, doc_id, part, position) of ``terms`` (term), in the folder all executors share.
+def item_terms(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((item, term, place) of every word of every item, (word, term) of the vocabulary); terms are numbers."""
+    placed = cut(numbered.select("item", F.posexplode(words(F.col("prompt"))).alias("place", "word")))
+    vocabulary = cut(placed.select("word").distinct().withColumn("term", F.monotonically_increasing_id()))
+    return cut(placed.join(small(vocabulary), "word").select("item", "term", "place")), vocabulary
+
+
+def build_index(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """Stores and returns the postings (term, doc_id, part, position) of the vocabulary, in the folder all executors share.
 
     ``part`` tells the texts of a repeated ``doc_id`` apart.
     """
     path = f"{shared_dir(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
-    postings = spread(docs.select(doc_id, text)).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("part"), F.posexplode(words(F.col(text))).alias("position", "term"))
-    postings.join(small(cut(terms.select("term").distinct())), "term", "left_semi").select("term", "doc_id", "part", "position").write.parquet(path)
+    rows = spread(docs.where(F.col(doc_id).isNotNull()).select(doc_id, text))
+    postings = rows.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("part"), F.posexplode(words(F.col(text))).alias("position", "word"))
+    postings.join(small(vocabulary), "word").select("term", "doc_id", "part", "position").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -59,21 +67,20 @@ def leaked_passages(
     items shorter than ``length`` words, and rows without an id match nothing; repeated rows give one result row; of an id
     with several texts each text counts by itself; empty tables give no rows; further columns are ignored.
     """
-    items = items.where(F.col(item_id).isNotNull())
-    docs = docs.where(F.col(doc_id).isNotNull())
-    terms = cut(item_terms(items.select(item_id, prompt).distinct(), item_id, prompt).distinct())
-    index = build_index(docs, doc_id, text, terms)
+    numbered = numbered_items(items, item_id, prompt)
+    terms, vocabulary = item_terms(numbered)
+    index = build_index(docs, doc_id, text, vocabulary)
     frequency = small(cut(index.groupBy("term").agg(F.count("*").alias("n"))))
 
     # Windows of which every term occurs in the corpus: their places and terms from the rarest to the most frequent.
-    ends = terms.groupBy("item_id").agg((F.max("place") - (length - 1)).alias("last"))
+    ends = terms.groupBy("item").agg((F.max("place") - (length - 1)).alias("last"))
     by_rarity = F.sort_array(F.collect_list(F.struct("n", "place", "term")))  # as many as a window is long
     windows = cut(
         terms.join(frequency, "term")
-        .select("item_id", "term", "n", "place", F.explode(F.sequence(F.col("place") - (length - 1), F.col("place"))).alias("start"))
-        .join(ends, "item_id")
+        .select("item", "term", "n", "place", F.explode(F.sequence(F.col("place") - (length - 1), F.col("place"))).alias("start"))
+        .join(ends, "item")
         .where(F.col("start").between(0, F.col("last")))
-        .groupBy("item_id", "start")
+        .groupBy("item", "start")
         .agg(by_rarity.alias("w"))
         .where(F.size("w") == length)
     )
@@ -81,24 +88,25 @@ def leaked_passages(
 
     # The rarest term gives the diagonals (document's position less item's place) that are looked at. Windows with the same
     # rarest terms share their lookups: each round keeps the diagonals on which the next rarest term is in place too.
-    rarest = small(windows.select("item_id", place(0), term(0).alias("term")).distinct())
-    found = index.join(rarest, "term").select("doc_id", "part", "item_id", (F.col("position") - F.col("p0")).alias("diagonal"), "p0")
+    rarest = small(windows.select("item", place(0), term(0).alias("term")).distinct())
+    found = index.join(rarest, "term").select("doc_id", "part", "item", (F.col("position") - F.col("p0")).alias("diagonal"), "p0")
     spots = index.select("doc_id", "part", "term", "position")
     for k in range(1, CONFIRM + 1):
         known = [f"p{j}" for j in range(k)]
-        step = small(windows.select("item_id", *map(place, range(k + 1)), term(k).alias("term")).distinct())
-        asked = found.join(step, ["item_id", *known]).withColumn("position", F.col("diagonal") + F.col(f"p{k}"))
-        found = asked.join(spots, ["doc_id", "part", "term", "position"], "left_semi").select("doc_id", "part", "item_id", "diagonal", *known, f"p{k}")
-    rest = windows.select("item_id", "start", *map(place, range(CONFIRM + 1)), F.explode(F.slice("w", CONFIRM + 2, length)).alias("r"))
-    rest = small(rest.select("item_id", "start", *[f"p{k}" for k in range(CONFIRM + 1)], F.col("r.place").alias("place"), F.col("r.term").alias("term")))
-    asked = cut(found).join(rest, ["item_id", *[f"p{k}" for k in range(CONFIRM + 1)]]).withColumn("position", F.col("diagonal") + F.col("place"))
+        step = small(windows.select("item", *map(place, range(k + 1)), term(k).alias("term")).distinct())
+        asked = found.join(step, ["item", *known]).withColumn("position", F.col("diagonal") + F.col(f"p{k}"))
+        found = asked.join(spots, ["doc_id", "part", "term", "position"], "left_semi").select("doc_id", "part", "item", "diagonal", *known, f"p{k}")
+    rest = windows.select("item", "start", *map(place, range(CONFIRM + 1)), F.explode(F.slice("w", CONFIRM + 2, length)).alias("r"))
+    rest = small(rest.select("item", "start", *[f"p{k}" for k in range(CONFIRM + 1)], F.col("r.place").alias("place"), F.col("r.term").alias("term")))
+    asked = cut(found).join(rest, ["item", *[f"p{k}" for k in range(CONFIRM + 1)]]).withColumn("position", F.col("diagonal") + F.col("place"))
     whole = (
         asked.join(spots, ["doc_id", "part", "term", "position"])
-        .groupBy("doc_id", "part", "item_id", "diagonal", "start")
+        .groupBy("doc_id", "part", "item", "diagonal", "start")
         .agg(F.count_distinct("place").alias("hits"))
         .where(F.col("hits") == length - 1 - CONFIRM)
     )
-    result = cut(whole.select(F.col("doc_id").alias(doc_id), F.col("item_id.id").alias(item_id)).distinct())
+    ids = small(numbered.select("item", "id"))
+    result = cut(whole.join(ids, "item").select(F.col("doc_id").alias(doc_id), F.col("id").alias(item_id)).distinct())
     drop_index(index)
     return result
 
@@ -111,33 +119,33 @@ def near_passages(
     The window is as in leaked_passages; ``n_terms`` is the best of its windows. With at most ``length - least`` words
     replaced, at least one of the ``length - least + 1`` rarest terms is in place, so these are the lookups made.
     """
-    items = items.where(F.col(item_id).isNotNull())
-    docs = docs.where(F.col(doc_id).isNotNull())
-    terms = cut(item_terms(items.select(item_id, prompt).distinct(), item_id, prompt).distinct())
-    index = build_index(docs, doc_id, text, terms)
+    numbered = numbered_items(items, item_id, prompt)
+    terms, vocabulary = item_terms(numbered)
+    index = build_index(docs, doc_id, text, vocabulary)
     frequency = small(cut(index.groupBy("term").agg(F.count("*").alias("n"))))
-    ends = terms.groupBy("item_id").agg((F.max("place") - (length - 1)).alias("last"))
+    ends = terms.groupBy("item").agg((F.max("place") - (length - 1)).alias("last"))
     window = cut(
         terms.join(frequency, "term", "left")
-        .select("item_id", "term", F.coalesce("n", F.lit(0)).alias("n"), "place", F.explode(F.sequence(F.col("place") - (length - 1), F.col("place"))).alias("start"))
-        .join(ends, "item_id")
+        .select("item", "term", F.coalesce("n", F.lit(0)).alias("n"), "place", F.explode(F.sequence(F.col("place") - (length - 1), F.col("place"))).alias("start"))
+        .join(ends, "item")
         .where(F.col("start").between(0, F.col("last")))
         .withColumn("shift", F.col("place") - F.col("start"))
-        .withColumn("rarity", F.row_number().over(Window.partitionBy("item_id", "start").orderBy("n", "shift")))
-        .select("item_id", "start", "term", "shift", "rarity")
+        .withColumn("rarity", F.row_number().over(Window.partitionBy("item", "start").orderBy("n", "shift")))
+        .select("item", "start", "term", "shift", "rarity")
     )
     rare = small(window.where(F.col("rarity") <= length - least + 1))
-    found = index.join(rare, "term").select("doc_id", "part", "item_id", "start", (F.col("position") - F.col("shift")).alias("at")).distinct()
+    found = index.join(rare, "term").select("doc_id", "part", "item", "start", (F.col("position") - F.col("shift")).alias("at")).distinct()
     result = cut(
-        found.join(small(window), ["item_id", "start"])
+        found.join(small(window), ["item", "start"])
         .withColumn("position", F.col("at") + F.col("shift"))
         .join(index, ["doc_id", "part", "term", "position"])
-        .groupBy("doc_id", "part", "item_id", "start", "at")
+        .groupBy("doc_id", "part", "item", "start", "at")
         .agg(F.count_distinct("shift").alias("n"))
-        .groupBy("doc_id", F.col("item_id.id").alias("item_id"))
+        .join(small(numbered.select("item", "id")), "item")
+        .groupBy("doc_id", "id")
         .agg(F.max("n").alias("n_terms"))
         .where(F.col("n_terms") >= least)
-        .select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "n_terms")
+        .select(F.col("doc_id").alias(doc_id), F.col("id").alias(item_id), "n_terms")
     )
     drop_index(index)
     return result
