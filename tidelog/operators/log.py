@@ -111,7 +111,3 @@ def in_flight(records: DataFrame, keys: Sequence[str], batch: str, acknowledged:
 def last_ack(records: DataFrame, batch: str) -> DataFrame:
     """(batch, last_offset): the offset a batch's acknowledgement carries; -1 if none of its records has one."""
     return records.groupBy(batch).agg(F.coalesce(F.max("offset"), F.lit(-1)).cast("long").alias("last_offset"))
-
-
-def rank_in(keys: Sequence[str], *order) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
