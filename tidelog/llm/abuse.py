@@ -26,6 +26,9 @@ THRESHOLD = 1.0
 #: Words between a name and the cue that somebody is meant by it.
 REACH = 8
 
+#: Words between a vow and the harm, a group and what it does or should suffer.
+APART = 3
+
 # Look-alike letters (fixed values): Cyrillic and Greek to Latin.
 _ALIKE = dict(zip("авекмнорстухѕіјԁԛԝһӏɡıαβεικνορτυχϲ", "abekmhopctyxsijdqwhlgiabeiknoptuxc", strict=True))
 # Digits and signs that stand for letters within words (fixed values).
@@ -62,6 +65,9 @@ def fold_phrase(phrase: str) -> str:
     return " ".join(_WORDS(_plain(phrase)))
 
 
+_SAID = regex.compile(rf"(?:{'|'.join(map(fold_phrase, lexicon.BE))})(?: (?:{'|'.join(sorted({fold_phrase(w) for w in (*lexicon.BETWEEN, *lexicon.SCORN)}))})){{0,4}}")
+
+
 class Scorer:
     """The automaton over all folded phrases; one per Python worker."""
 
@@ -79,8 +85,9 @@ class Scorer:
             self._add(fold_phrase(p), "excuse", 0.0)
         self.automaton.make_automaton()
         self.words: dict[int, list[str]] = {}
-        for w in sorted({w for p, (kind, _) in self.phrases.items() if kind != "cue" for w in p.split() if len(w) > 2}):
+        for w in sorted({w for p, (kind, _) in self.phrases.items() if kind in ("strong", "insult", "mild") for w in p.split() if len(w) > 2}):
             self.words.setdefault(len(w), []).append(w)
+        self.slights = {fold_phrase(p) for p in lexicon._list(lexicon.SLIGHTS)}
         self.known = {w for ws in self.words.values() for w in ws}
 
     def _add(self, phrase: str, kind: str, weight: float) -> None:
@@ -149,8 +156,26 @@ class Scorer:
         total += sum({a: w for a, _, _, w in insults}.values())
         if insults and any(self._near(folded, i, c) for i in insults for c in found.get("cue", [])):
             total += lexicon.CUE
+        if self._paired(folded, found):
+            total += lexicon.STRONG
         return total
 
+    def _paired(self, folded: str, found: dict[str, list]) -> bool:
+        """Whether harm is vowed, or a group of people degraded."""
+
+        def follows(first: str, then: str, apart: int) -> bool:
+            return any(a[1] <= b[0] and folded.count(" ", a[1], b[0]) <= apart + 1 for a in found.get(first, ()) for b in found.get(then, ()))
+
+        if follows("vow", "harm", APART):
+            return True
+        groups = found.get("group")
+        if not groups:
+            return False
+        if follows("group", "ill", APART) or follows("rid", "group", 0):
+            return True
+        said = [h for k in ("slight", "insult", "mild") for h in found.get(k, ()) if k != "mild" or folded[h[0] : h[1]] in self.slights]
+        return any(g[1] < h[0] and _SAID.fullmatch(folded[g[1] : h[0]].strip()) for g in groups for h in said)
+
     @staticmethod
     def _near(folded: str, a: tuple, b: tuple) -> bool:
         lo, hi = min(a[1], b[1]), max(a[0], b[0])

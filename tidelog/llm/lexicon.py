@@ -28,7 +28,7 @@ INSULTS_JA = "クズ 馬鹿 バカ 間抜け アホ 阿呆 ゴミ カス 低能
 # Signs that a person is addressed or spoken of (weight CUE; several count once).
 CUES = {
     "en": """you|your|yours|yourself|u|ur|@op|op|shut up|learn to read|what a|such a|typical|thank you for nothing|get lost|piss off|
-        only a|like him|like her|he is|she is|they are|that guy is|this guy is|go away|stop breathing""",
+        only a|like him|like her|he is|she is|they are|that guy is|this guy is|go away|stop breathing|whoever|what kind of|people like""",
     "de": """du|dein|deine|dich|dir|ihr seid|euch|sie sind|halt die|halt's maul|fresse|verschwinde|fragt nur ein|was für ein|so ein|
         verpiss dich|hau ab|er ist ein|sie ist eine""",
     "es": """tú|eres|tu|te|cállate|lárgate|de mierda|solo un|sólo un|vete|usted es|es un|menudo|vaya|qué pedazo de|hijo de""",
@@ -102,8 +102,107 @@ SEXUAL = """
     coucher avec toi|sexe avec moi"""
 STRONG_JA = "害虫だ|追い出せ|死ね|殺すぞ|殺してやる|くたばれ|ぶっ殺す|裸の写真|裸を見せ|セックス|やらせろ|おっぱい|ちんこ|まんこ|劣等民族|皆殺し|消え失せろ"
 
+# Slurs for people by origin, faith, sex, love or disability; abusive whoever is meant (weight STRONG), reports excepted.
+SLURS = {
+    "en": """nigger nigga niggers niggas kike wetback raghead towelhead sandnigger darkie jigaboo porchmonkey beaner pikey wop dago chinaman gook
+        zipperhead spic faggot shemale shitskin mudslime jewboy negress halfbreed gyppo polack""".split(),
+    "de": "kanake kanaken neger judensau saujude kümmeltürke schwuchtel schlitzauge kameltreiber zigeunerpack negerin polacken".split(),
+    "es": "sudaca panchito negrata moraco maricón marica bollera travelo mongólico judiazo machupichu".split(),
+    "fr": "bougnoule bicot youpin youpine bamboula bougnoul pédé tarlouze gouine niakoué chinetoque mongolien".split(),
+}
+# Slurs that are also common words need a cue.
+SLURS_AMBIGUOUS = "chink coon paki jap dyke fag tranny mongoloid libtard spastic redskin bimbo tapette golliwog".split()
+SLURS_JA = "チョンコ シナ人 土人 ニガー オカマ野郎 キチガイ 非国民".split()
+
+# Threats: a vow, then harm to a person's body within a few words.
+VOWS = """i will|i'll|i am going to|i'm going to|im going to|i am gonna|i'm gonna|gonna|ima|we will|we'll|we are going to|we're going to|i want to|i would love to|i'd love to|
+    let me|someone should|somebody should|someone ought to|somebody ought to|they should|i hope someone|i hope somebody|hope they|i wish someone would|i swear i will"""
+HARMS = "break|smash|cut|cut off|slit|crush|rip|rip off|rip out|tear off|tear out|bash|bash in|kick|kick in|punch|snap|chop off|knock out|gouge out|shatter|pound|burn|slice|stomp on|wring".split("|")
+BODY = "head face skull neck throat legs leg arms arm bones teeth jaw nose fingers hands knees kneecaps ribs eyes ears spine balls guts tongue brains brain".split()
+HARM_PERSON = "kill|murder|stab|shoot|strangle|choke|hang|beat|beat up|slap|punch|hurt|drown|bury|lynch|burn|rape|torture|behead|execute|gut|skin".split("|")
+DESERVING = [f"{w} {d}" for w, d in product(("you deserve to", "he deserves to", "she deserves to", "you ought to", "he ought to", "she ought to", "he should", "she should"), "die|hang|suffer|be shot|be killed|be beaten|be hanged|be raped|be put down|be stabbed".split("|"))]
+DESERVING += [f"{v} {b}" for v, b in product(("te voy a partir", "le voy a partir", "te voy a romper", "te voy a cortar", "te voy a arrancar"), "la cara|la boca|las piernas|los dientes|la cabeza|el cuello|los huesos|la lengua|las manos".split("|"))]
+DESERVING += [f"ich schlag{e} {w} {b}" for e, w, b in product(("", "e"), ("dir", "ihm", "ihr"), "die fresse|die zähne|den schädel|den kopf|ins gesicht|die nase|aufs maul|in die fresse".split("|"))]
+WISHED = "hope you|hope he|hope she|hope your family|hope your children|hope your kids|hope your mother|wish you would|wish he would|wish she would|may you".split("|")
+WISHES = "die|dies|die soon|die in|rot|rots|suffer|suffers|burn|burns|bleed|choke|chokes|drown|get cancer|gets cancer|get sick and die|get hit by|get run over|never wake up|lose everything".split("|")
+MORE_THREATS = """
+    bullet in your head|bullet in his head|bullet in her head|bullet in your skull|bullet through your|you never walk again|you never breathe again|go play in traffic|play in traffic|
+    jump in front of a train|jump in front of a bus|throw yourself|world will celebrate when you|i will dance on your grave|dance on your grave|piss on your grave|
+    ich wünsche dir krebs|ich wünsche dir den tod|ich wünsch dir den tod|hoffentlich stirbst du|geh doch sterben|stirb einfach|ojalá te atropelle|ojalá te maten|ojalá te dé cáncer|
+    devrait te pendre|devrait te tuer|j'espère que tu crèves|
+    you will regret being born|you'll regret being born|you are dead meat|you're dead meat|you are a dead man|you're a dead man|we know where you live|we know your address|
+    i know your address|i am coming for you|i'm coming for you|end yourself|end your life|go hang yourself|slit your wrists|neck yourself|should be put down like a dog|you will pay with your life|your days are numbered|your days are counted|
+    ich stech dich ab|ich steche dich ab|ich mach dich kalt|ich mache dich kalt|ich brech dir|ich breche dir|ich hau dir|ich knall dich ab|spring von der brücke|
+    bring dich einfach um|du sollst sterben|du gehörst erschossen|dich krieg ich noch|te voy a reventar|os voy a matar|voy a ir a por ti|ojalá te pudras|púdrete|ojalá te mates|mereces morir|
+    je vais te péter|je vais te défoncer|je vais te buter|je vais te crever|je vais te briser|je vais te saigner|tu vas crever|tu mérites de mourir|j'espère que tu vas mourir|va te suicider"""
+MORE_INSULTING = """
+    you are the dumbest|you're the dumbest|you are the stupidest|you're the stupidest|you are the most stupid|as useless as you|as worthless as you|as useless as your|as stupid as your|as dumb as your|
+    drop you on the head|drop you on your head|dropped on your head|you were dropped as a|dropped as a baby|crawl back into your hole|crawl back under your|you make every room dumber|your dead father|your dead mother|
+    you should have been aborted|should have swallowed you|your parents must be ashamed|ihr seid alle hirnlos|ihr hirnlosen|ihr seid alle idioten|hast du kein hirn|t'as pas de cerveau|no tienes cerebro|
+    nobody likes you|everyone hates you|everybody hates you|people like you make me|your mother is|your mum is a|your mom is a|your sister is a|shut your mouth|shut the fuck up|shut your face|
+    shut your trap|stfu|screw yourself|you make me want to vomit|you make me puke|get a brain|no brain cells|are you brain dead|are you braindead|what is wrong with you you|you retarded|you brainless|you braindead|you fat cow|you fat pig|you ugly cow|you sack of shit|you piece of garbage|you piece of trash|you worthless piece|you can go to hell|go to hell you|go drink bleach|you little shit|you sick fuck|you spineless|
+    du dumme|du dummes|du dummer|du blöde|du blöder|du blödes|du bist der letzte dreck|du stück scheiße|du arsch|du hund|du sau|du opfer|du bist ein nichts|du bist dumm|du bist hässlich|du wertloses|
+    eres una basura|eres basura|eres un mierda|eres un asco|eres patético|eres patética|pedazo de mierda|pedazo de basura|tu puta madre|eres idiota|eres imbécil|eres feo|eres fea|
+    t'es une merde|tu es une merde|t'es vraiment une merde|tu es nul|t'es nul|tu es moche|t'es moche|sac à merde|tas de merde|espèce de merde|grosse vache|tu es bête|t'es bête"""
+MORE_SEXUAL = """
+    came inside her|came inside him|came inside me|came in her mouth|came on her face|around his shaft|getting fucked|gets fucked by|got fucked by|hot teens|rode his cock|fucks her|fucks him|sucks him|
+    clit|clitoris licking|lick your lick her pussy|lick you between your legs|licked her|spread her legs|between her thighs|thrust into her|thrust into him|thrusting into|rock hard cock|
+    suck me off|sucked me off|suck him off|jerk off|jerked off|jerking off|jack off|jizz|cumming|naked breasts|hard nipples|her nipples|your nipples|rimjob|dildo|vibrator in|fingering her|
+    fingered her|pussy|pussies|milf|milfs|boobs|bukkake|hentai|xxx videos|camgirl|camgirls|slutty|make you cum|made her cum|made him cum|sit on my face|bend over for me|
+    fick mich|gefickt|bumsen|schwanz lutschen|lutsch meinen|feuchte fotze|polvazo|echar un polvo|mámamela|
+    baise-moi|baise moi|suce ma|sucer ma|ta chatte|sa chatte|éjaculer|jouir en toi|levrette"""
+STRONG_JA_MORE = "生きる価値がない|生きてる価値がない|死んでくれ|死んだほうがいい|死んだ方がいい|首を吊れ|自殺しろ|殺すから|ぶん殴る|住所を知って|お前は馬鹿|お前はバカ|お前はクズ|フェラ|オナニー|中出し|ヤりたい|エロ動画|全裸写真|生まれてこなければよかった|生まれてこなきゃよかった"
+
+# People called such a beast.
+BEASTLY = "brainless|braindead|brain dead|retarded|stupid|dumb|fat|ugly|filthy|dirty|slimy|worthless|disgusting|absolute|utter|hirnloser|hirnlose|dumme|fette|grosse|sale".split("|")
+BEAST = "ape|monkey|pig|rat|cow|dog|donkey|swine|worm|maggot|muppet|coward|affe|sau|ziege|truie|vache".split("|")
+
+# Groups of people; degraded if something of SLIGHTS is said to be what they are, something of ILLS what they do or should
+# suffer, something of RIDS what should be done to them, or a word of contempt stands before them.
+GROUPS = {
+    "en": """immigrants|migrants|refugees|foreigners|asylum seekers|jews|muslims|christians|hindus|sikhs|catholics|arabs|africans|blacks|black people|whites|white people|asians|
+        mexicans|latinos|hispanics|chinese people|the chinese|gypsies|roma people|gays|gay people|homosexuals|lesbians|transsexuals|trans people|transgender people|queers|women|females|girls|men|
+        disabled people|poor people|homeless people|the homeless|old people|fat people|americans|germans|turks|poles|russians|ukrainians|indians|pakistanis|afghans|syrians|
+        somalis|albanians|romanians|nigerians|koreans|japanese people|italians|greeks|kurds|palestinians|israelis|iranians|indigenous people|aboriginals|
+        these people|those people|their kind|your kind|these foreigners|those foreigners""",
+    "de": """ausländer|flüchtlinge|migranten|asylanten|juden|muslime|moslems|türken|araber|afrikaner|schwarze|schwarzen|zigeuner|polen|russen|frauen|weiber|schwule|schwulen|lesben|homosexuelle|
+        behinderte|behinderten|asiaten|chinesen|syrer|afghanen|rumänen|obdachlose|diese leute|solche leute""",
+    "es": """inmigrantes|refugiados|extranjeros|judíos|musulmanes|moros|árabes|africanos|negros|gitanos|mujeres|gays|homosexuales|lesbianas|chinos|mexicanos|latinos|rumanos|discapacitados|indios|esa gente""",
+    "fr": """immigrés|migrants|réfugiés|étrangers|juifs|musulmans|arabes|africains|noirs|les roms|gitans|tsiganes|femmes|gays|homosexuels|lesbiennes|asiatiques|chinois|handicapés|roumains|ces gens""",
+    "ja": "外国人|移民|難民|朝鮮人|韓国人|中国人|黒人|白人|ユダヤ人|在日|障害者|同性愛者|イスラム教徒|ホームレス|女ども|女は",
+}
+SLIGHTS = """vermin|rats|parasites|cockroaches|animals|pigs|dogs|apes|monkeys|savages|filth|scum|subhuman|trash|garbage|thieves|criminals|terrorists|rapists|murderers|liars|whores|sluts|
+    invaders|leeches|maggots|insects|lice|barbarians|degenerates|perverts|freaks|abominations|an abomination|inferior|stupid|dumb|lazy|dirty|filthy|disgusting|primitive|worthless|useless|retarded|
+    uncivilised|uncivilized|ugly|greedy|untrustworthy|less intelligent|less human|not human|evil|a cancer|a plague|a disease|a burden|
+    ein krebsgeschwür|ein krebs|un cáncer|una enfermedad|una plaga|un cancer|une maladie|une plaie|kriminell|kriminelle|verbrecher|diebe|dumm|faul|dreckig|minderwertig|terroristen|vergewaltiger|abschaum|dreck|ungeziefer|parasiten|ratten|tiere|affen|schmarotzer|untermenschen|
+    ladrones|delincuentes|criminales|terroristas|violadores|vagos|sucios|inferiores|basura|escoria|ratas|parásitos|animales|tontas|estúpidas|estúpidos|asesinos|
+    voleurs|criminels|terroristes|violeurs|menteurs|fainéants|inférieurs|ordures|vermine|parasites|rats|animaux|racaille|stupides|idiotes"""
+ILLS = """steal anything|steal your|steal our|steal like|steal whatever|stink|ought to be shot|ought to be hanged|ought to be locked|ought to be deported|ought to be castrated|should be locked up|should be castrated|
+    should not be allowed to have children|should not be allowed to have kids|should not be allowed to work|should know their place|cannot think logically|can't think logically|cannot drive|can't think|
+    are sick in the head|are out to destroy|should never have been freed|were better off as slaves|klauen alles|klauen wie|stehlen alles|stinken|no sirven para|huelen mal|apestan|puent|volent tout|
+    猿だ|頭が悪い|下等だ|バカばかり|should be shot|should be gassed|should be hanged|should be killed|should be exterminated|should be drowned|should be sterilised|should be sterilized|should be burned|should be deported like|
+    should be put in camps|should be wiped out|should be put down|should be beaten|should be eradicated|should all die|should die|should not be allowed to breed|should not be allowed to vote|
+    must be exterminated|must be wiped out|must die|must be killed|need to be exterminated|deserve to die|deserve no rights|deserve to be|do not deserve to live|don't deserve to live|
+    belong in the kitchen|belong in cages|belong in a cage|belong in prison|belong in camps|belong in the gutter|belong behind bars|breed like|ruin everything|cannot be trusted|can't be trusted|
+    are ruining our|are ruining this|are destroying our|are poisoning our|are infesting|are invading|are taking over our|steal everything|are stealing our|only want to steal|
+    control the banks|control the media|control everything|control the world|run the banks|run the media|have no place in|should go back to|do not belong here|don't belong here|are not human|
+    are not people|are not really people|are too stupid to|are too dumb to|are too emotional to|are only good for|are good for nothing|smell like|
+    gehören vergast|gehören erschossen|gehören weggesperrt|gehören abgeschoben|gehören an den herd|gehören ins lager|sollen verrecken|sollen sterben|raus|nehmen uns die|
+    deben morir|deberían morir|merecen morir|vienen a robar|a la cámara de gas|roban todo|nos roban|
+    doivent mourir|méritent de mourir|contrôlent tout|contrôlent les médias|contrôlent les banques|dehors|viennent voler|nous volent|à la cuisine|
+    国に帰れ|国へ帰れ|帰れ|出て行け|出ていけ|犯罪者だ|犯罪者ばかり|劣っている|劣等|寄生虫だ|ゴミだ|クズだ|殺せ|いなくなれ|消えろ|馬鹿だ|バカだ|泥棒だ|日本から出"""
+RIDS = """kill|kill all|kill the|kill all the|gas|gas the|gas all|hang|hang the|hang all|shoot|shoot all|shoot the|drown|drown the|drown all|lynch|exterminate|exterminate the|exterminate all|
+    death to|death to the|death to all|deport all|get rid of the|get rid of all|wipe out|wipe out the|wipe out all|kick out the|kick out all|throw out the|throw out all|down with the|tod den|tod allen|vergast die|
+    muerte a los|muerte a las|fuera los|mort aux|à mort les|dehors les|i hate|i hate all|i hate the|we hate|ich hasse|odio a los|odio a las|je hais les|je déteste les"""
+SCORN = [*CONTEMPT, *"fucking bloody goddamn damn vile scheiß scheiss drecks dreckige dumme faule putain putos putas malditos sucios".split()]
+# Between a group and what it is said to be: words for to be, then at most so many of the others.
+BE = "are|is|were|aren't anything but|sind|son|sont|was".split("|")
+BETWEEN = """all|just|only|nothing|but|a|an|the|bunch|pack|gang|lot|race|nation|band|of|such|so|too|always|mostly|really|simply|basically|born|naturally|usually|and|lying|thieving|more|than|real|
+    alle|nur|alles|ein|eine|haufen|doch|faule|dreckige|dumme|todos|todas|solo|unos|unas|una|un|muy|panda|de|tous|toutes|que|des|une|bande|trop|juste""".replace("\n", " ").split("|")
+REPORTED = "called him a|called her a|called me a|called us|called them|called him|called her|called me|called someone a|called somebody a|the word|the slur|the term|the insult|the n-word".split("|")
+
 # Rough or explicit words that fall short of abuse by themselves.
-MILD = {"fuck": 0.4, "fucking": 0.4, "shit": 0.2, "bullshit": 0.2, "crap": 0.1, "damn": 0.1, "ugly": 0.1, "pathetic": 0.3, "worthless": 0.3, "naked": 0.2, "nude": 0.4, "cock": 0.4, "dick": 0.4}
+MILD = {"fuck": 0.4, "fucking": 0.4, "shit": 0.2, "bullshit": 0.2, "crap": 0.1, "damn": 0.1, "ugly": 0.1, "pathetic": 0.3, "worthless": 0.3, "naked": 0.2, "nude": 0.4, "cock": 0.4, "pussy": 0.6, "dick": 0.4}
 MILD |= {"scheiße": 0.2, "mist": 0.1, "mierda": 0.3, "merde": 0.2, "desnuda": 0.4, "nackt": 0.3, "geil": 0.4, "cachondo": 0.6, "cachonda": 0.6, "wertloser": 0.5, "wertlose": 0.5}
 
 # What one of these covers is no abuse: words about things, technical terms, about oneself, reports of what others said.
@@ -116,13 +215,14 @@ EXCUSES = """
     fuck in the docs means|fuck in the docs|naked pointer|naked pointers|naked constructor|naked eye|naked type|naked return|
     virgin buffer|single point of failure|point of failure|of failure|failure mode|failure modes|failure rate|failure domain|on failure|a failure of|
     failure to|test failure|disk failure|network failure|master slave|master/slave|sex is m or f|sex and age|middlesex|scunthorpe|sussex|essex|
+    spic and span|chink in the|maine coon|shoot you a|shoot you an|shoot him a|shoot him an|shoot her a|shoot her an|burn you a|beat you to it|
     garbage collector|garbage collection|parent process|child process|the pig|guinea pig|apache pig|pig latin|parasite capacitance|parasitic|
     clown car|the new failure|cock valve|moby dick|dick tracy|cocktail|strip the naked|shuttlecock|peacock|such a failure|total failure of|
     what a failure|typical failure|your failure|his failure|the failure|this failure|a failure|failure of|
     ich trottel|ich idiot|ich depp|ich dummkopf|ich vollidiot|ich war ein idiot|ich bin ein idiot|ich bin so ein|so ein mist|
     qué tonto fui|que tonto fui|soy un idiota|fui un idiota|fui tonto|soy tonto|qué idiota fui|soy idiota|soy un inútil|método inútil|es inútil|
     quel idiot je suis|je suis un idiot|je suis idiot|j'ai été idiot|quel imbécile je suis|quel crétin je suis|j'étais un idiot|c'est débile"""
-EXCUSES_JA = "自分が馬鹿|自分は馬鹿|私が馬鹿|私は馬鹿|僕が馬鹿|自分がバカ|ゴミ箱|ゴミデータ"
+EXCUSES_JA = "国に帰れる|国に帰れば|国に帰れな|国に帰れた|国に帰れず|国へ帰れる|国へ帰れば|国へ帰れな|国へ帰れた|国へ帰れず|帰れる|帰れば|帰れな|帰れた|帰れず|殺せる|自分が馬鹿|自分は馬鹿|私が馬鹿|私は馬鹿|僕が馬鹿|自分がバカ|ゴミ箱|ゴミデータ"
 
 
 def _list(text: str) -> list[str]:
@@ -133,8 +233,12 @@ def _plural(word: str) -> list[str]:
     return [word, word + ("es" if word.endswith(("s", "ch", "sh", "x")) else "s")]
 
 
+def _groups() -> list[str]:
+    return [g for text in GROUPS.values() for g in _list(text)]
+
+
 def phrases() -> dict[str, tuple[str, float]]:
-    """phrase -> (kind, weight); kind is strong, insult, cue or mild."""
+    """phrase -> (kind, weight); kind is strong, insult, cue, mild or, without weight, vow, harm, group, slight, ill or rid."""
     out: dict[str, tuple[str, float]] = {}
     for w, weight in MILD.items():
         out[w] = ("mild", weight)
@@ -146,9 +250,24 @@ def phrases() -> dict[str, tuple[str, float]]:
         out |= {p: ("strong", STRONG) for p in _list(text)}
     out |= {f"{c} {b}": ("strong", STRONG) for c, b in product(COPULAS, _list(BEASTS))}
     out |= {f"{o} {c}": ("strong", STRONG) for o, c in product(ONE_OF, CONTEMPT)}
+    out |= {f"{c} {a} {b}": ("strong", STRONG) for c, a, b in product(COPULAS, CONTEMPT, _list(BEASTS))}
+    out |= {p: ("strong", STRONG) for text in (MORE_THREATS, MORE_INSULTING, MORE_SEXUAL, STRONG_JA_MORE) for p in _list(text)}
+    out |= {f"{w} {d}": ("strong", STRONG) for w, d in product(WISHED, WISHES)}
+    out |= {p: ("strong", STRONG) for p in DESERVING}
+    out |= {f: ("insult", INSULT) for a, b in product(BEASTLY, BEAST) for f in _plural(f"{a} {b}")}
+    out |= {f"{a} {g}": ("strong", STRONG) for a, g in product(SCORN, _groups())} | {f"sales {g}": ("strong", STRONG) for g in _list(GROUPS["fr"])}
+    out |= {f: ("strong", STRONG) for words in SLURS.values() for w in words for f in _plural(w)} | {p: ("strong", STRONG) for p in SLURS_JA}
+    out |= {f: ("insult", INSULT) for w in SLURS_AMBIGUOUS for f in _plural(w)}
+    # These have no weight of their own; together they are strong, see abuse.py.
+    pairs = {"vow": _list(VOWS), "group": _groups(), "ill": _list(ILLS), "rid": _list(RIDS), "slight": _list(SLIGHTS)}
+    pairs["harm"] = [f"{v} {p} {b}" for v, p, b in product(HARMS, ("your", "his", "her", "their"), BODY)] + [f"{v} {p}" for v, p in product(HARM_PERSON, ("you", "him", "her"))]
+    for kind, found in pairs.items():
+        for p in found:
+            out.setdefault(p, (kind, 0.0))
     out |= {p: ("insult", INSULT) for p in INSULTS_JA} | {p: ("cue", CUE) for p in CUES_JA} | {p: ("strong", STRONG) for p in _list(STRONG_JA)}
     return out
 
 
 def excuses() -> list[str]:
-    return [*_list(EXCUSES), *_list(EXCUSES_JA)]
+    slurs = [w for words in SLURS.values() for w in words]
+    return [*_list(EXCUSES), *_list(EXCUSES_JA), *(f"{r} {w}" for r, w in product(REPORTED, slurs))]
