@@ -38,3 +38,13 @@ def test_passages(scorer, written, least):
         rows = [line.rstrip("\n").split("\t") for line in f]
     found = {k: [scorer.score(t)[1] >= 1 for label, t, w in rows if label == k and w == written] for k in "01"}
     assert sum(found["1"]) > least * len(found["1"]) and sum(found["0"]) <= 2
+
+
+@pytest.mark.parametrize("text", ["You are a failure.", "You are such a failure", "you're a total failure!", "What a failure you are.", "He is a failure.", "You are the idiot of all idiots, an idiot-proof one.", "Eres un fracaso."])
+def test_excuses_leave_insults_of_persons(scorer, text):
+    assert scorer.score(text)[1] >= 1
+
+
+@pytest.mark.parametrize("text", ["If you get a failure, restart the service.", "You are seeing a disk failure.", "You have a single point of failure there.", "What a failure of the cluster means for you", "Your failure to close it costs you.", "I am a failure.", "This is a typical failure, you restart it.", "you said that I was an idiot", "Once you idiot-proof it, ship it."])
+def test_failures_of_things(scorer, text):
+    assert scorer.score(text)[1] < 1

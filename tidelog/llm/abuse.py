@@ -68,6 +68,17 @@ def fold_phrase(phrase: str) -> str:
 _SAID = regex.compile(rf"(?:{'|'.join(map(fold_phrase, lexicon.BE))})(?: (?:{'|'.join(sorted({fold_phrase(w) for w in (*lexicon.BETWEEN, *lexicon.SCORN)}))})){{0,4}}")
 
 
+def _subject(subjects: list[str]) -> regex.Pattern:
+    """Matches a subject with its verb at the end of a text, up to the word that says what it is."""
+    degrees = sorted({fold_phrase(w) for w in (*lexicon._list(lexicon.DEGREES), *lexicon.CONTEMPT)})
+    return regex.compile(rf" (?:{'|'.join(map(fold_phrase, subjects))})(?: (?:{'|'.join(degrees)})){{0,4}} $")
+
+
+_ADDRESSED, _SPOKEN_OF = _subject(lexicon.ADDRESSED), _subject(lexicon.SPOKEN_OF)
+_CALLED = regex.compile(r"(?:^| \.) you(?: (?:complete|total|utter|absolute|little|fucking|bloody|damn))* $")
+_YOU_ARE = regex.compile(r" (?:you|he|she) (?:are|is)(?: \.|\s*$)")
+
+
 class Scorer:
     """The automaton over all folded phrases; one per Python worker."""
 
@@ -143,7 +154,7 @@ class Scorer:
             (excused if kind == "excuse" else hits).append((stop - n, stop, kind, weight))
         if not hits:
             return []
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _, _ in excused)]
+        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _, _ in excused) or (h[2] in ("insult", "direct") and _before(folded, h, _ADDRESSED))]
         out: dict[int, dict[str, list]] = {}
         for h in hits:
             out.setdefault(folded.count(" . ", 0, h[0] + 1), {}).setdefault(h[2], []).append(h)
@@ -156,6 +167,8 @@ class Scorer:
         total += sum({a: w for a, _, _, w in insults}.values())
         if insults and any(self._near(folded, i, c) for i in insults for c in found.get("cue", [])):
             total += lexicon.CUE
+        if any(_before(folded, h, _ADDRESSED, _SPOKEN_OF, _CALLED) or _YOU_ARE.match(folded, h[1]) for h in found.get("direct", ())):
+            total += lexicon.INSULT + lexicon.CUE
         if self._paired(folded, found):
             total += lexicon.STRONG
         return total
@@ -193,6 +206,12 @@ class Scorer:
         return round(best[1], 6), round(best[0], 6)
 
 
+def _before(folded: str, hit: tuple, *patterns: regex.Pattern) -> bool:
+    """Whether one of the patterns matches just before a hit."""
+    text = folded[max(0, hit[0] - 80) : hit[0]]
+    return any(p.search(text) for p in patterns)
+
+
 def _leet(word: str, one: str = "i") -> str:
     """Digits and signs to letters, in a word that has letters."""
     return "".join(one if c == "1" else _DIGITS.get(c, c) for c in word) if any(c.isalpha() for c in word) else word

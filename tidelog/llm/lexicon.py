@@ -13,7 +13,7 @@ from itertools import product
 INSULTS = {
     "en": """idiot moron imbecile cretin halfwit half-wit loser bastard bitch prick scumbag asshole arsehole dumbass jackass dickhead
         shithead dimwit nitwit wanker tosser twat cunt whore slut retard faggot dipshit douchebag motherfucker cocksucker fuckwit
-        bonehead numbskull simpleton dunce pig swine vermin parasite scum lowlife degenerate pervert creep clown failure fool
+        bonehead numbskull simpleton dunce pig swine vermin parasite scum lowlife degenerate pervert creep clown fool
         idiotic moronic imbecilic""".split(),
     "de": """idiot trottel vollidiot wichser arschloch depp vollpfosten dummkopf schwachkopf hurensohn missgeburt drecksau schlampe
         hure fotze spast versager penner abschaum schwein mistkerl""".split(),
@@ -23,6 +23,14 @@ INSULTS = {
         demeuré enculé pourriture""".split(),
 }
 INSULT = 0.6
+# Words that also stand for things and events: insults only if said to be what a person is.
+DIRECT = """failure|disgrace|embarrassment|disappointment|coward|liar|fraud|joke|waste|nobody|brainless|braindead|feigling|nichts|schande|
+    cobarde|fracaso|fracasado|fracasada|vergüenza|lâche|raté|ratée|honte|échec"""
+# Subjects with a verb, and words that may stand between them and what somebody is said to be.
+ADDRESSED = "you are|you're|you were|you r|u r|u are|ur|you will always be|you'll always be|du bist|du warst|ihr seid|eres|usted es|tu es|t'es|vous êtes".split("|")
+SPOKEN_OF = "he is|he's|he was|she is|she's|she was|er ist|sie ist".split("|")
+DEGREES = """a|an|the|such|just|only|nothing|but|really|truly|so|too|simply|still|all|always|one|complete|total|utter|absolute|real|big|huge|fucking|bloody|damn|goddamn|little|
+    ein|eine|der|die|das|nur|doch|einfach|echt|wirklich|total|un|una|el|la|muy|tan|todo|toda|une|le|vraiment|trop|si|qu'un|qu'une"""
 INSULTS_JA = "クズ 馬鹿 バカ 間抜け アホ 阿呆 ゴミ カス 低能 ブス".split()
 
 # Signs that a person is addressed or spoken of (weight CUE; several count once).
@@ -213,12 +221,11 @@ EXCUSES = """
     called him an idiot|called him a moron|called her a bitch|called her an idiot|had called the other|calling people names|
     called somebody|wrote that i was|said that i was|bastard of all bugs|bastard of a bug|bitch of a bug|son of a bitch of a bug|
     fuck in the docs means|fuck in the docs|naked pointer|naked pointers|naked constructor|naked eye|naked type|naked return|
-    virgin buffer|single point of failure|point of failure|of failure|failure mode|failure modes|failure rate|failure domain|on failure|a failure of|
+    virgin buffer|single point of failure|point of failure|failure mode|failure modes|failure rate|failure domain|on failure|
     failure to|test failure|disk failure|network failure|master slave|master/slave|sex is m or f|sex and age|middlesex|scunthorpe|sussex|essex|
     spic and span|chink in the|maine coon|shoot you a|shoot you an|shoot him a|shoot him an|shoot her a|shoot her an|burn you a|beat you to it|
     garbage collector|garbage collection|parent process|child process|the pig|guinea pig|apache pig|pig latin|parasite capacitance|parasitic|
-    clown car|the new failure|cock valve|moby dick|dick tracy|cocktail|strip the naked|shuttlecock|peacock|such a failure|total failure of|
-    what a failure|typical failure|your failure|his failure|the failure|this failure|a failure|failure of|
+    clown car|cock valve|moby dick|dick tracy|cocktail|strip the naked|shuttlecock|peacock|
     ich trottel|ich idiot|ich depp|ich dummkopf|ich vollidiot|ich war ein idiot|ich bin ein idiot|ich bin so ein|so ein mist|
     qué tonto fui|que tonto fui|soy un idiota|fui un idiota|fui tonto|soy tonto|qué idiota fui|soy idiota|soy un inútil|método inútil|es inútil|
     quel idiot je suis|je suis un idiot|je suis idiot|j'ai été idiot|quel imbécile je suis|quel crétin je suis|j'étais un idiot|c'est débile"""
@@ -238,7 +245,7 @@ def _groups() -> list[str]:
 
 
 def phrases() -> dict[str, tuple[str, float]]:
-    """phrase -> (kind, weight); kind is strong, insult, cue, mild or, without weight, vow, harm, group, slight, ill or rid."""
+    """phrase -> (kind, weight); kind is strong, insult, cue, mild or, without weight, direct, vow, harm, group, slight, ill or rid."""
     out: dict[str, tuple[str, float]] = {}
     for w, weight in MILD.items():
         out[w] = ("mild", weight)
@@ -253,6 +260,7 @@ def phrases() -> dict[str, tuple[str, float]]:
     out |= {f"{c} {a} {b}": ("strong", STRONG) for c, a, b in product(COPULAS, CONTEMPT, _list(BEASTS))}
     out |= {p: ("strong", STRONG) for text in (MORE_THREATS, MORE_INSULTING, MORE_SEXUAL, STRONG_JA_MORE) for p in _list(text)}
     out |= {f"{w} {d}": ("strong", STRONG) for w, d in product(WISHED, WISHES)}
+    out |= {f: ("direct", 0.0) for w in _list(DIRECT) for f in _plural(w)}
     out |= {p: ("strong", STRONG) for p in DESERVING}
     out |= {f: ("insult", INSULT) for a, b in product(BEASTLY, BEAST) for f in _plural(f"{a} {b}")}
     out |= {f"{a} {g}": ("strong", STRONG) for a, g in product(SCORN, _groups())} | {f"sales {g}": ("strong", STRONG) for g in _list(GROUPS["fr"])}
