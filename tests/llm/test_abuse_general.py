@@ -48,3 +48,13 @@ def test_excuses_leave_insults_of_persons(scorer, text):
 @pytest.mark.parametrize("text", ["If you get a failure, restart the service.", "You are seeing a disk failure.", "You have a single point of failure there.", "What a failure of the cluster means for you", "Your failure to close it costs you.", "I am a failure.", "This is a typical failure, you restart it.", "you said that I was an idiot", "Once you idiot-proof it, ship it."])
 def test_failures_of_things(scorer, text):
     assert scorer.score(text)[1] < 1
+
+
+@pytest.mark.parametrize("text", ["You wrote this? Idiot.", "Moron! Delete your account.", "Idiot.", "Complete moron!", "Read the manual. Fucking imbecile. It has a page on it.", "Das hast du geschrieben? Vollidiot!", "バカ。"])
+def test_insults_in_sentences_of_their_own(scorer, text):
+    assert scorer.score(text)[1] >= 1
+
+
+@pytest.mark.parametrize("text", ["This API is moronic. You have to call it twice.", "I was such an idiot. You were right.", "The clown is a fish. You can feed it.", "Run it twice. Pig. Hive.", "You wrote this. " + "word " * 9 + "idiot word."])
+def test_sentences_beside_insults(scorer, text):
+    assert scorer.score(text)[1] < 1

@@ -2,7 +2,8 @@
 
 Folding undoes what hides words: compatibility forms, case and accents, look-alike letters of other scripts, digits and
 signs for letters, stretched, spaced-out and partly starred words, invisible characters and markup. Matches covered by
-an excusing phrase don't count. Weights add up within a passage (a sentence); a document is abusive if the weight of one of its
+an excusing phrase don't count. Weights add up within a passage (a sentence); an
+insult that is a sentence of its own, or has its cue in the sentence before or after, is one of a person addressed. A document is abusive if the weight of one of its
 passages reaches the threshold. Its score is its whole weight per hundred words.
 """
 
@@ -75,6 +76,10 @@ def _subject(subjects: list[str]) -> regex.Pattern:
 
 
 _ADDRESSED, _SPOKEN_OF = _subject(lexicon.ADDRESSED), _subject(lexicon.SPOKEN_OF)
+_WORD = regex.compile(r"\S+")
+_OWN = frozenset(w for p in lexicon.OWN for w in fold_phrase(p).split())
+#: What may stand beside an insult in a sentence that is nothing else.
+_ADDED = frozenset(w for p in (*lexicon._list(lexicon.DEGREES), *lexicon.SCORN, "oh", "go", "away", "absolut", "what") for w in fold_phrase(p).split())
 _CALLED = regex.compile(r"(?:^| \.) you(?: (?:complete|total|utter|absolute|little|fucking|bloody|damn))* $")
 _YOU_ARE = regex.compile(r" (?:you|he|she) (?:are|is)(?: \.|\s*$)")
 
@@ -98,6 +103,7 @@ class Scorer:
         self.words: dict[int, list[str]] = {}
         for w in sorted({w for p, (kind, _) in self.phrases.items() if kind in ("strong", "insult", "mild") for w in p.split() if len(w) > 2}):
             self.words.setdefault(len(w), []).append(w)
+        self.literal = {fold_phrase(f) for w in lexicon.LITERAL for f in lexicon._plural(w)}
         self.slights = {fold_phrase(p) for p in lexicon._list(lexicon.SLIGHTS)}
         self.known = {w for ws in self.words.values() for w in ws}
 
@@ -158,14 +164,15 @@ class Scorer:
         out: dict[int, dict[str, list]] = {}
         for h in hits:
             out.setdefault(folded.count(" . ", 0, h[0] + 1), {}).setdefault(h[2], []).append(h)
-        return [w for p in out.values() if (w := self._weight(folded, p))]
+        beside = {n: [c for k in (n - 1, n + 1) for c in out.get(k, {}).get("cue", ())] for n in out}
+        return [w for n, p in out.items() if (w := self._weight(folded, p, beside[n]))]
 
-    def _weight(self, folded: str, found: dict[str, list]) -> float:
+    def _weight(self, folded: str, found: dict[str, list], beside: list) -> float:
         total = sum({(a, b): w for a, b, _, w in found.get("strong", [])}.values())
         total += sum({(a, b): w for a, b, _, w in found.get("mild", [])}.values())
         insults = found.get("insult", [])
         total += sum({a: w for a, _, _, w in insults}.values())
-        if insults and any(self._near(folded, i, c) for i in insults for c in found.get("cue", [])):
+        if insults and (any(self._near(folded, i, c) for i in insults for c in found.get("cue", [])) or self._alone(folded, insults, beside)):
             total += lexicon.CUE
         if any(_before(folded, h, _ADDRESSED, _SPOKEN_OF, _CALLED) or _YOU_ARE.match(folded, h[1]) for h in found.get("direct", ())):
             total += lexicon.INSULT + lexicon.CUE
@@ -173,6 +180,18 @@ class Scorer:
             total += lexicon.STRONG
         return total
 
+    def _alone(self, folded: str, insults: list, beside: list) -> bool:
+        """Whether a sentence is nothing but an insult, or a cue for it stands near by in the sentence before or after."""
+        start, stop = folded.rfind(" . ", 0, insults[0][0] + 1), folded.find(" . ", insults[0][1])
+        begin, end = (0 if start < 0 else start + 3), (len(folded) if stop < 0 else stop)
+        plain = [i for i in insults if folded[i[0] : i[1]] not in self.literal]
+        words = [(m.start() + begin, m.group()) for m in _WORD.finditer(folded[begin:end])]
+        covered = lambda at: any(a <= at < b for a, b, _, _ in insults)
+        if plain and all(covered(at) or w in _ADDED for at, w in words):
+            return True
+        own = [at for at, w in words if w in _OWN]
+        return any(self._near(folded, i, c) for i in plain if not any(at < i[0] for at in own) for c in beside)
+
     def _paired(self, folded: str, found: dict[str, list]) -> bool:
         """Whether harm is vowed, or a group of people degraded."""
 

@@ -31,6 +31,10 @@ ADDRESSED = "you are|you're|you were|you r|u r|u are|ur|you will always be|you'l
 SPOKEN_OF = "he is|he's|he was|she is|she's|she was|er ist|sie ist".split("|")
 DEGREES = """a|an|the|such|just|only|nothing|but|really|truly|so|too|simply|still|all|always|one|complete|total|utter|absolute|real|big|huge|fucking|bloody|damn|goddamn|little|
     ein|eine|der|die|das|nur|doch|einfach|echt|wirklich|total|un|una|el|la|muy|tan|todo|toda|une|le|vraiment|trop|si|qu'un|qu'une"""
+# Insults that alone in a sentence may be meant literally.
+LITERAL = "pig swine parasite vermin clown creep prick schwein zorra payaso ordure pourriture ゴミ カス bimbo coon jap dyke fag redskin".split()
+# With one of these before it in its sentence an insult is said of something there, or of the writer; a cue in the next sentence is none for it.
+OWN = "is|are|was|were|be|been|i|i'm|my|me|myself|it's|that's|ist|sind|war|waren|ich|bin|mein|es|son|era|eran|soy|fui|yo|est|sont|était|étaient|je|j'ai|suis|c'est|mon|said|called|says|wrote|sagte|dijo|dit|the|this|that".split("|")
 INSULTS_JA = "クズ 馬鹿 バカ 間抜け アホ 阿呆 ゴミ カス 低能 ブス".split()
 
 # Signs that a person is addressed or spoken of (weight CUE; several count once).
