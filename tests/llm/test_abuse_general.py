@@ -58,3 +58,17 @@ def test_insults_in_sentences_of_their_own(scorer, text):
 @pytest.mark.parametrize("text", ["This API is moronic. You have to call it twice.", "I was such an idiot. You were right.", "The clown is a fish. You can feed it.", "Run it twice. Pig. Hive.", "You wrote this. " + "word " * 9 + "idiot word."])
 def test_sentences_beside_insults(scorer, text):
     assert scorer.score(text)[1] < 1
+
+
+@pytest.mark.parametrize("text", ["for(i=0;i<n;i++) { // you idiot\n p->x = 1; }", "&lt;you idiot&gt;", "if (a<b && you_are) { /* you moron */ } x >>= 1", "<you idiot>", '<img src="x.png" alt="you idiot">', "i<b you idiot>"])
+def test_text_in_angle_brackets_is_scored(scorer, text):
+    assert scorer.score(text)[1] >= 1
+
+
+@pytest.mark.parametrize("text", ['you <span class="idiot">thing</span>', "you <input value=3 disabled/> <br/>", '<a href="http://x/idiot?you" target=_blank>here</a>'])
+def test_markup_is_not_scored(scorer, text):
+    assert scorer.score(text)[1] < 1
+
+
+def test_long_markup_ends(scorer):
+    assert scorer.score("<a " + "a=1 " * 100_000)[1] == 0 and scorer.score("<a" * 100_000)[1] == 0

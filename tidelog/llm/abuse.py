@@ -36,7 +36,15 @@ _ALIKE = dict(zip("авекмнорстухѕіјԁԛԝһӏɡıαβεικνορ
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "€": "e", "£": "l", "|": "l"}
 _SIGNS = "".join(map(regex.escape, _DIGITS))
 
-_TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+# Markup: known tags with attributes, of which those for readers are kept. Anything else in angle brackets is text.
+_TAGS = """a abbr address area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data dd del details dfn
+    dialog div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend
+    li link main map mark menu meta nav noscript object ol optgroup option output p param picture pre progress q rp rt ruby s samp script section select small source
+    span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr""".split()
+_FLAGS = "allowfullscreen async autofocus autoplay checked controls default defer disabled download hidden ismap itemscope loop multiple muted nomodule noshade novalidate nowrap open readonly required reversed selected".split()
+_VALUE = r"""(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`]+)"""
+_TAG = regex.compile(rf"""</?(?:{"|".join(_TAGS)})(?>\s+(?:[a-z_:@][\w:.@-]*+\s*=\s*{_VALUE}|(?:{"|".join(_FLAGS)})(?![\w=])))*+\s*/?>""", regex.IGNORECASE)
+_READ = regex.compile(r"""\s(?:alt|title|placeholder|label|summary|content|value|aria-label)\s*=\s*["']([^"']*)["']""", regex.IGNORECASE)
 _HIDDEN = regex.compile(r"[\p{Cf}­️͏]+")
 _MARK = regex.compile(r"(?<=[\p{Latin}\p{Greek}\p{Cyrillic}])\p{M}+")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}@$!013457]([ .\-_·,/]))(?:[\p{L}@$!013457]\1){1,30}[\p{L}@$!013457](?![\p{L}\p{N}])")
@@ -138,10 +146,10 @@ class Scorer:
 
     def fold(self, text: str) -> Iterator[str]:
         """Folded variants of a text, words set apart by single spaces and sentences by dots."""
+        if "<" in text:
+            text = _TAG.sub(lambda m: f" {' '.join(_READ.findall(m.group()))} " if "=" in m.group() else " ", text)
         if "&" in text:
             text = html.unescape(text)
-        if "<" in text:
-            text = _TAG.sub(" ", text)
         text = _plain(text)
         text = _SPACED.sub(self._joined, text)
         variants = self._unstarred(text) if "*" in text or "#" in text or "•" in text else [text]
