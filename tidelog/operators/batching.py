@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.config import ProducerSettings
-from tidelog.operators.folding import greedy_fill
+from tidelog.operators.folding import greedy_fill, unfilled
 
 
 def fill_batches(records: DataFrame, keys: Sequence[str], order: str, size: str, settings: ProducerSettings) -> DataFrame:
-    """Adds fill_no and used_before: the batch each record goes into, and how much was in it. Larger records go nowhere."""
+    """Adds fill_no and used_before: the batch each record goes into, and how much was in it. Larger records are in ``rejects``."""
     return greedy_fill(records, keys, order, size, settings.batch_size, "fill_no", "used_before")
 
 
+def rejects(records: DataFrame, keys: Sequence[str], order: str, size: str, settings: ProducerSettings) -> DataFrame:
+    """The records that fill_batches puts into no batch, with ``reject``: to their producer they are errors."""
+    return unfilled(records, keys, order, size, settings.batch_size)
+
+
 def with_state(batches: DataFrame, now_ms: int, settings: ProducerSettings) -> DataFrame:
     """Adds age_ms, is_expired (older than the delivery timeout) and may_retry (attempts are left)."""
     return (

@@ -108,12 +108,19 @@ def _entry_states(slim: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
     return summaries.groupBy(*keys).applyInPandas(chain, f"{types}, _block long, _fill long, _base long")
 
 
+def unfilled(df: DataFrame, keys: Sequence[str], order: str, size: str, cap: int) -> DataFrame:
+    """The rows that greedy_fill leaves out, with ``reject``: why they can't be filled in. Every row is in one of both."""
+    reject = F.when(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) > 0, "no key")
+    reject = reject.when(F.col(order).isNull(), "no order").when(F.col(size).isNull(), "no size").when(F.col(size) > cap, "oversize")
+    return df.withColumn("reject", reject).where("reject is not null")
+
+
 def greedy_fill(df: DataFrame, keys: Sequence[str], order: str, size: str, cap: int, bin_name: str, before_name: str, block: int = 1 << 17) -> DataFrame:
     """Adds ``bin_name`` (0, 1... within keys) and ``before_name`` (bytes of the bin before the record).
 
     A record goes into the open bin if it fits (reaching ``cap`` exactly is allowed), else opens a new one. Records larger
     than ``cap`` fit no bin and are left out, as are rows without a key, ``order`` or ``size``; they don't close the open
-    bin. Keys with more than ``block`` rows are filled block by block.
+    bin. ``unfilled`` has them, with the reason. Keys with more than ``block`` rows are filled block by block.
     """
     rows = df.where(F.col(order).isNotNull() & (F.col(size) <= cap))
     for k in keys:

@@ -58,7 +58,11 @@ def log_bounds(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def segments(log: DataFrame, keys: Sequence[str], order: str, size: str, cap: int = SEGMENT) -> DataFrame:
-    """Adds segment (0, 1...), segment_base_offset and byte_pos (bytes of the segment before the record)."""
+    """Adds segment (0, 1...), segment_base_offset and byte_pos (bytes of the segment before the record).
+
+    Records larger than ``cap`` are in no segment; ``accept`` with the same limit rejects them before they are numbered,
+    ``folding.unfilled`` lists them.
+    """
     filled = greedy_fill(log, keys, order, size, cap, "segment", "byte_pos")
     return filled.withColumn("segment_base_offset", F.min("offset").over(Window.partitionBy(*keys, "segment")))  # bounded by cap
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tidelog.operators import catalog as C
 from tidelog.operators import groups as G
 from tidelog.operators import liveness as V
 from tidelog.operators import log as L
+from tidelog.operators.folding import unfilled
 from tidelog.operators.routing import known_topics, route
 from tidelog.operators.snapshots import Entity, snapshot_changes
 from tidelog.plans.reference_sql import NOW_MS, SQL  # noqa: F401
@@ -132,6 +134,17 @@ def batch_fill(s: SparkSession, d: str) -> DataFrame:
     return filled.groupBy(*KEYS, "fill_no").agg(F.count("*").alias("n_records"), F.sum("size_bytes").alias("n_bytes"), F.min("arrival_seq").alias("first_seq"))
 
 
+def fill_rejects(s: SparkSession, d: str) -> DataFrame:
+    """The records that batch_fill, flush_groups, segment_roll and offset_index leave out, and why."""
+    rows = _sized(s, d).select("arrival_seq", *KEYS, "size_bytes")
+    out = [
+        ("batch", B.rejects(rows, KEYS, "arrival_seq", "size_bytes", PRODUCER)),
+        ("flush", unfilled(rows, KEYS, "arrival_seq", "size_bytes", 8_192)),
+        ("segment", unfilled(rows, KEYS, "arrival_seq", "size_bytes", 16_384)),
+    ]
+    return reduce(DataFrame.unionByName, [df.withColumn("fill", F.lit(name)) for name, df in out])
+
+
 def _in_flight(s: SparkSession, d: str) -> DataFrame:
     return L.in_flight(_records(s, d), KEYS, "batch_no", F.col("ack_status").isNotNull())
 
@@ -356,7 +369,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             partition_counts, route_by_key_hash, route_precedence, rejected_records, assign_offsets, log_bounds, publish_ack, fetch_at_offset, poll_range,
-            consumer_lag, segment_roll, offset_index, flush_groups, batch_fill, in_flight, batch_ready, batch_expired, drain_request, partition_owner,
+            consumer_lag, segment_roll, offset_index, flush_groups, batch_fill, fill_rejects, in_flight, batch_ready, batch_expired, drain_request, partition_owner,
             broker_partitions, assign_range, assign_round_robin, assign_sticky_initial, assign_sticky_leave, assign_sticky_join, assignment_encoded,
             assignment_decoded, subscription_counts, protocol_choice, broker_latest, broker_liveness, alive_count, alive_loads, least_loaded,
             heartbeat_acceptance, broker_addresses, headers_last, headers_flat, headers_changed, create_topics_validation, metadata_diff,

@@ -107,6 +107,9 @@ SELECT topic, target_partition, "offset", min("offset") OVER (PARTITION BY topic
     "flush_groups": f"WITH RECURSIVE {_fold(8192)} SELECT topic, target_partition, max(bin) + 1 AS n_flushes FROM fold GROUP BY ALL",
     "batch_fill": f"""WITH RECURSIVE {_fold(1024)}
 SELECT topic, target_partition, bin AS fill_no, count(*) AS n_records, sum(size_bytes)::BIGINT AS n_bytes, min(arrival_seq) AS first_seq FROM fold GROUP BY topic, target_partition, bin""",
+    "fill_rejects": f"""WITH {LOG}, caps(fill, cap) AS (VALUES ('batch', 1024), ('flush', 8192), ('segment', 16384)),
+why AS (SELECT arrival_seq, topic, target_partition, size_bytes, fill, CASE WHEN topic IS NULL OR target_partition IS NULL THEN 'no key' WHEN arrival_seq IS NULL THEN 'no order'
+  WHEN size_bytes IS NULL THEN 'no size' WHEN size_bytes > cap THEN 'oversize' END AS reject FROM log, caps) SELECT * FROM why WHERE reject IS NOT NULL""",
     "in_flight": f"WITH {IN_FLIGHT} SELECT * FROM flight",
     "batch_ready": f"WITH {READY} SELECT topic, target_partition, batch_no FROM ready",
     "batch_expired": f"SELECT batch_no, {NOW_MS} - created_ms AS age_ms, retries < 3 AS may_retry FROM batches WHERE {NOW_MS} - created_ms > 21600000",
