@@ -21,11 +21,12 @@ LOAD = (
 
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return implausible_readings(table(spark, d, "heartbeats"), "broker_id", "timestamp_ms", LOAD)
+    """The cases of p1_found, and further readings of implausible rates of change or by the scatter of their hour."""
+    return implausible_readings(table(spark, d, "heartbeats"), "broker_id", "timestamp_ms", LOAD, further=True)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_reasons(spark, d).select("broker_id", "timestamp_ms", "metric_name")
+    return implausible_readings(table(spark, d, "heartbeats"), "broker_id", "timestamp_ms", LOAD).select("broker_id", "timestamp_ms", "metric_name")
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
