@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,7 @@ def local_session(app: str = "tidelog", cores: str = "*", shuffle_partitions: in
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -35,17 +38,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local one, but only on a single machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
-    path = named or tempfile.mkdtemp(prefix="tidelog-checkpoint-")
+    if not named and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    path = named or _local_dir()
     sc.setCheckpointDir(path)
     return path
 
 
+def _local_dir() -> str:
+    """A folder for a session on a single machine, removed when Python ends."""
+    path = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared folder, so that later jobs survive a lost executor without recomputing it."""
     shared_dir(df.sparkSession)
