@@ -86,8 +86,8 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_kept, p3_found, p3_counts, p3_closed, p4_found, p4_grid, p5_found, p6_found, p6_counts)}
 
 
-SQL = {
-    "p1_found": """
+# Readings with the level of their neighbours, their runs, rates of change and what is usual.
+_READINGS = """
 WITH h AS (SELECT DISTINCT broker_id, timestamp_ms, cpu_usage, available_memory, connection_count FROM heartbeats
            WHERE broker_id IS NOT NULL AND timestamp_ms IS NOT NULL),
 r AS (SELECT broker_id, timestamp_ms, 'cpu_usage' AS metric_name, cpu_usage AS v, 100.0 AS high, 0.0 AS least FROM h
@@ -95,18 +95,32 @@ r AS (SELECT broker_id, timestamp_ms, 'cpu_usage' AS metric_name, cpu_usage AS v
       UNION ALL SELECT broker_id, timestamp_ms, 'connection_count', connection_count::DOUBLE, 'inf'::DOUBLE, 1.0 FROM h),
 i AS (SELECT *, isnan(v) OR v < 0 OR v > high AS impossible FROM r WHERE v IS NOT NULL),
 o AS (SELECT *, CASE WHEN NOT impossible THEN v END AS ok FROM i),
-n AS (SELECT *, list(ok) OVER a AS l1, list(ok) OVER b AS l2, lag(v) OVER (PARTITION BY broker_id, metric_name ORDER BY timestamp_ms) AS prior
-      FROM o WINDOW a AS (PARTITION BY broker_id, metric_name ORDER BY timestamp_ms ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+n AS (SELECT *, list(ok) OVER a AS l1, list(ok) OVER b AS l2, lag(v) OVER o AS prior,
+        (ok - lag(ok) OVER o) / ((timestamp_ms - lag(timestamp_ms) OVER o) / 60000) AS rate, (ok - lag(ok, 2) OVER o) / ((timestamp_ms - lag(timestamp_ms, 2) OVER o) / 60000) AS second
+      FROM o WINDOW o AS (PARTITION BY broker_id, metric_name ORDER BY timestamp_ms),
+                    a AS (PARTITION BY broker_id, metric_name ORDER BY timestamp_ms ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
                     b AS (PARTITION BY broker_id, metric_name ORDER BY timestamp_ms ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
 m AS (SELECT *, list_filter(coalesce(l1, []), lambda x: x IS NOT NULL) AS c1, list_filter(coalesce(l2, []), lambda x: x IS NOT NULL) AS c2 FROM n),
 e AS (SELECT *, ok - list_median(list_concat(c1, c2)) AS off,
         CASE WHEN len(c1) >= 5 THEN abs(ok - list_median(c1)) END AS d1, CASE WHEN len(c2) >= 5 THEN abs(ok - list_median(c2)) END AS d2,
         sum(CASE WHEN v = prior THEN 0 ELSE 1 END) OVER (PARTITION BY broker_id, metric_name ORDER BY timestamp_ms ROWS UNBOUNDED PRECEDING) AS run FROM m),
-u AS (SELECT broker_id, metric_name, greatest((quantile_cont(off, 0.75) - quantile_cont(off, 0.25)) / 1.349, any_value(least)) AS scatter,
+q AS (SELECT broker_id, metric_name, any_value(least) AS least, quantile_cont(off, [0.05, 0.25, 0.75, 0.95]) AS q, quantile_cont(rate, [0.05, 0.25, 0.75, 0.95]) AS t,
         count(*) FILTER (v <> prior) >= 0.5 * count(prior) AS changing FROM e GROUP BY ALL),
-g AS (SELECT *, count(*) OVER (PARTITION BY broker_id, metric_name, run) AS len FROM e)
+u AS (SELECT *, greatest(CASE WHEN q[3] > q[2] THEN (q[3] - q[2]) / 1.349 ELSE (q[4] - q[1]) / 3.29 END, least) AS scatter,
+        CASE WHEN t[3] > t[2] THEN (t[3] - t[2]) / 1.349 ELSE (t[4] - t[1]) / 3.29 END AS rate_scatter FROM q),
+g AS (SELECT *, least(abs(off), coalesce(d1, 'inf'::DOUBLE), coalesce(d2, 'inf'::DOUBLE)) AS apart, count(*) OVER (PARTITION BY broker_id, metric_name, run) AS len FROM e),
+k AS (SELECT broker_id, metric_name, timestamp_ms // 3600000 AS hour, count(off) AS known, any_value(least) AS least, quantile_cont(off, [0.05, 0.25, 0.75, 0.95]) AS q FROM e GROUP BY ALL),
+z AS (SELECT broker_id, metric_name, hour, greatest(CASE WHEN q[3] > q[2] THEN (q[3] - q[2]) / 1.349 ELSE (q[4] - q[1]) / 3.29 END, least) AS hour_scatter FROM k WHERE known >= 30)"""
+
+SQL = {
+    "p1_found": f"""{_READINGS}
 SELECT broker_id, timestamp_ms, metric_name FROM g JOIN u USING (broker_id, metric_name)
-WHERE impossible OR (least(abs(off), coalesce(d1, 'inf'::DOUBLE), coalesce(d2, 'inf'::DOUBLE)) > 10 * scatter) OR (len >= 8 AND changing)""",
+WHERE impossible OR apart > 10 * scatter OR (len >= 8 AND changing)""",
+    "p1_reasons": f"""{_READINGS},
+w AS (SELECT broker_id, timestamp_ms, metric_name, v AS value, CASE WHEN impossible THEN 'impossible' WHEN apart > 10 * scatter THEN 'spike' WHEN len >= 8 AND changing THEN 'stuck'
+        WHEN second IS NOT NULL AND least(coalesce(abs(rate), 'inf'::DOUBLE), abs(second)) > 10 * rate_scatter THEN 'rate' WHEN apart > 10 * hour_scatter THEN 'hour' END AS reason
+      FROM g JOIN u USING (broker_id, metric_name) LEFT JOIN z ON z.broker_id = g.broker_id AND z.metric_name = g.metric_name AND z.hour = timestamp_ms // 3600000)
+SELECT * FROM w WHERE reason IS NOT NULL""".replace("SELECT broker_id, timestamp_ms, metric_name, v AS", "SELECT g.broker_id, timestamp_ms, g.metric_name, v AS"),
     "p2_found": """
 SELECT arrival_seq FROM (SELECT arrival_seq, min(arrival_seq) OVER (PARTITION BY topic, coalesce(record_key, ''), timestamp_ms, record_value) AS first
 FROM records_in WHERE timestamp_ms IS NOT NULL) WHERE arrival_seq > first""",
