@@ -1,14 +1,16 @@
-"""Event-time periods that are corrected by late records, closed by per-source watermarks.
+"""Event-time periods that are corrected by late records, closed by the low watermarks of their sources.
 
-A source's low watermark passes the end of a period with the first record, in order of arrival, whose event time
-is at or after that end: that arrival is the source's punctuation for the period. Punctuations are compact (one row
-per source and period), come from one aggregate with map-side combining and need no order of the big table: a record is
-late exactly if it arrives after the punctuation of its own period, so the records themselves are never shuffled.
+A group's records come from one or several sources. A source's low watermark passes the end of a period with the first
+record, in order of arrival, whose event time is at or after that end: that arrival is the source's punctuation for the
+period. A period closes for its group when every source has punctuated it or has been idle for too long. Punctuations are
+compact (one row per source and period), come from one aggregate with map-side combining and need no order of the big
+table: a record is late exactly if it arrives after the closing of its own period, so the records themselves are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,99 +18,126 @@ from pyspark.sql import functions as F
 from tidelog.runtime import cut, small
 
 
-def punctuations(df: DataFrame, group: Sequence[str], time: str, order: str, period_ms: int, lateness_ms: int) -> DataFrame:
-    """(group..., period, first_seq, close_seq, cut_seq): where in the arrival order each period of a source closes.
+@dataclass(frozen=True)
+class Idle:
+    """When a source is no longer waited for: after ``after_ms`` without a record on the arrivals' clock ``wall``.
 
-    ``close_seq`` is the first arrival with an event time at or after the period's end, ``cut_seq`` the first at or after
-    the end plus ``lateness_ms``; null if none has come. ``period`` is the period's start in ms.
+    Time-outs are looked at with the group's first arrival of each tick of ``tick_ms``.
     """
-    if lateness_ms % period_ms:
-        raise ValueError("lateness_ms must be a multiple of period_ms")
-    firsts = (
-        df.where(F.col(time).isNotNull() & F.col(order).isNotNull())
-        .select(*[F.col(g) for g in group], (F.floor(F.col(time) / period_ms) * period_ms).alias("period"), F.col(order).alias("_seq"))
-        .groupBy(*group, "period")
-        .agg(F.min("_seq").alias("first_seq"))
-    )
-    by = Window.partitionBy(*group).orderBy("period")
-    return firsts.withColumn("close_seq", F.min("first_seq").over(by.rowsBetween(1, Window.unboundedFollowing))).withColumn(
-        "cut_seq", F.min("first_seq").over(by.rangeBetween(lateness_ms + period_ms, Window.unboundedFollowing))
-    )
+
+    wall: str
+    after_ms: int
+    tick_ms: int = 60_000
 
 
-def group_punctuations(
-    df: DataFrame, group: Sequence[str], source: str, time: str, order: str, wall: str, period_ms: int, idle_ms: int, tick_ms: int = 60_000
+def punctuations(
+    df: DataFrame, group: Sequence[str], source: str | None, time: str, order: str, period_ms: int = 3_600_000, lateness_ms: int = 0, idle: Idle | None = None
 ) -> DataFrame:
-    """(group..., period, close_seq): a group's period closes when every source of it has passed the period's end.
+    """(group..., period, close_seq, cut_seq): where in the arrival order each period of a group closes, and is cut off.
 
-    A source that sends nothing of the period or an earlier one for ``idle_ms`` of the arrivals' ``wall`` clock is idle and
-    no longer waited for; time-outs are looked at with the group's first arrival of each tick of ``tick_ms``. Sources that
-    have sent nothing up to the period are not waited for. Null if a period stays open. Rows
-    without event time, order or wall time carry no watermark; ``wall`` must not decrease along ``order``.
+    ``close_seq`` is the arrival with which the last of the group's sources passes the period's end, ``cut_seq`` that with
+    which the last passes the end plus ``lateness_ms``; null if one has not. ``period`` is the period's start in ms. Without
+    ``source`` the group is its only source. With ``idle`` a source that sends nothing of the period or an earlier
+    one for so long is not waited for, nor is its lateness. Sources that have sent nothing up to the period are not waited
+    for. Rows without event time, order or (with ``idle``) wall time carry no watermark; wall must not decrease along ``order``.
     """
-    rows = df.where(F.col(time).isNotNull() & F.col(order).isNotNull() & F.col(wall).isNotNull()).select(
+    if lateness_ms % period_ms:
+        raise ValueError("lateness_ms must be a multiple of period_ms")
+    rows = df.where(F.col(time).isNotNull() & F.col(order).isNotNull())
+    if idle:
+        rows = rows.where(F.col(idle.wall).isNotNull())
+    rows = rows.select(
         *group,
-        F.col(source).alias("_src"),
+        (F.col(source) if source else F.lit(0)).alias("_src"),
         (F.floor(F.col(time) / period_ms) * period_ms).alias("period"),
         F.col(order).alias("_seq"),
-        F.col(wall).alias("_wall"),
+        (F.col(idle.wall) if idle else F.lit(None).cast("long")).alias("_wall"),
     )
     seen = rows.groupBy(*group, "_src", "period").agg(F.min("_seq").alias("first_seq"), F.max("_wall").alias("last_wall"))
+    grid = seen
+    if source:  # every source of a group has to pass every period of the group
+        seen = cut(seen)
+        sources = seen.select(*[F.col(g).alias(f"_r_{g}") for g in group], "_src").distinct()
+        periods = seen.select(*group, "period").distinct()
+        same = F.lit(True)
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
+        every = periods.join(sources, same).select(*group, "_src", "period", F.lit(None).cast("long").alias("first_seq"), F.lit(None).cast("long").alias("last_wall"))
+        grid = seen.unionByName(every).groupBy(*group, "_src", "period").agg(F.min("first_seq").alias("first_seq"), F.max("last_wall").alias("last_wall"))
     by = Window.partitionBy(*group, "_src").orderBy("period")
-    grid = seen.select(*group, "period").distinct().join(seen.select(*group, "_src").distinct(), list(group))
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     waits = (
-        grid.join(seen, [*group, "_src", "period"], "left")
-        .withColumn("pass_seq", F.min("first_seq").over(by.rowsBetween(1, Window.unboundedFollowing)))
-        .withColumn("quiet_from", F.max("last_wall").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("quiet_from").isNotNull())
-        .withColumn("tick", F.ceil((F.col("quiet_from") + idle_ms) / tick_ms))
-    )
-    ticks = rows.groupBy(*group, F.floor(F.col("_wall") / tick_ms).alias("tick")).agg(F.min("_seq").alias("tick_seq"))
-    ahead = Window.partitionBy(*group).orderBy("tick").rangeBetween(0, Window.unboundedFollowing)
-    return (
-        waits.unionByName(ticks, allowMissingColumns=True)
-        .withColumn("timeout_seq", F.min("tick_seq").over(ahead))
-        .where(F.col("period").isNotNull())
-        .groupBy(*group, "period")
-        .agg(
-            F.max(F.least("pass_seq", "timeout_seq")).alias("close_seq"),
-            F.count(F.when(F.col("pass_seq").isNull() & F.col("timeout_seq").isNull(), 1)).alias("open"),
-        )
-        .select(*group, "period", F.when(F.col("open") == 0, F.col("close_seq")).alias("close_seq"))
+        grid.withColumn("pass_seq", F.min("first_seq").over(by.rowsBetween(1, Window.unboundedFollowing)))
+        .withColumn("pass_cut", F.min("first_seq").over(by.rangeBetween(lateness_ms + period_ms, Window.unboundedFollowing)))
+        .withColumn("started", F.min("first_seq").over(so_far))
+        .where(F.col("started").isNotNull())
     )
-
-
-def _joined(df: DataFrame, group: Sequence[str], time: str, order: str, period_ms: int, lateness_ms: int) -> DataFrame:
+    if idle:
+        waits = waits.withColumn("tick", F.ceil((F.max("last_wall").over(so_far) + idle.after_ms) / idle.tick_ms))
+        ticks = rows.groupBy(*group, F.floor(F.col("_wall") / idle.tick_ms).alias("tick")).agg(F.min("_seq").alias("tick_seq"))
+        ahead = Window.partitionBy(*group).orderBy("tick").rangeBetween(0, Window.unboundedFollowing)
+        waits = waits.unionByName(ticks, allowMissingColumns=True).withColumn("timeout", F.min("tick_seq").over(ahead)).where(F.col("period").isNotNull())
+    else:
+        waits = waits.withColumn("timeout", F.lit(None).cast("long"))
+    done = lambda c: F.least(c, "timeout")
+    passed = lambda c: F.when(F.count(done(c)) == F.count("*"), F.max(done(c)))
+    return waits.groupBy(*group, "period").agg(passed("pass_seq").alias("close_seq"), passed("pass_cut").alias("cut_seq"))
+
+
+def _joined(
+    df: DataFrame, group: Sequence[str], time: str, order: str, period_ms: int, lateness_ms: int, source: str | None = None, idle: Idle | None = None
+) -> DataFrame:
     keys = [f"_g{k}" for k in range(len(group))]
-    rows = df.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], F.col(time).alias("_t"), F.col(order).alias("_seq"))
-    bounds = small(cut(punctuations(rows, keys, "_t", "_seq", period_ms, lateness_ms)))
+    more = [F.col(source).alias("_s")] if source else []
+    more += [F.col(idle.wall).alias("_w")] if idle else []
+    rows = df.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], F.col(time).alias("_t"), F.col(order).alias("_seq"), *more)
+    waited = Idle("_w", idle.after_ms, idle.tick_ms) if idle else None
+    bounds = small(cut(punctuations(rows, keys, "_s" if source else None, "_t", "_seq", period_ms, lateness_ms, waited)))
     rows = rows.where(F.col("_t").isNotNull() & F.col("_seq").isNotNull()).withColumn("_p", F.floor(F.col("_t") / period_ms) * period_ms)
     on = F.col("_p") == F.col("period")
     bounds = bounds.select("period", "close_seq", "cut_seq", *[F.col(k).alias(f"{k}_b") for k in keys])
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"{k}_b"))
     outcome = F.when(F.col("_seq") > F.col("cut_seq"), "cut_off").when(F.col("_seq") > F.col("close_seq"), "corrects").otherwise("on_time")
-    return rows.join(bounds, on).select(*[F.col(k).alias(g) for g, k in zip(group, keys, strict=True)], "_seq", "_p", outcome.alias("outcome"))
-
-
-def late_records(df: DataFrame, group: Sequence[str], time: str, order: str, period_ms: int = 3_600_000, lateness_ms: int = 21_600_000) -> DataFrame:
-    """(order, outcome) of each record that arrives after its source's watermark passed the end of its period.
+    return rows.join(bounds, on, "left").select(*[F.col(k).alias(g) for g, k in zip(group, keys, strict=True)], "_seq", "_p", outcome.alias("outcome"))
+
+
+def late_records(
+    df: DataFrame,
+    group: Sequence[str],
+    time: str,
+    order: str,
+    period_ms: int = 3_600_000,
+    lateness_ms: int = 21_600_000,
+    source: str | None = None,
+    idle: Idle | None = None,
+) -> DataFrame:
+    """(order, outcome) of each record that arrives after its group's period closed, see punctuations.
 
     ``corrects``: within ``lateness_ms`` of the end, the period's aggregates still take it in; ``cut_off``: diverted.
     Defined results: records without event time or order belong to no period; a null ``group`` value is a
-    source of its own; records with equal ``order`` do not make each other late; an empty table gives no rows.
+    group of its own; records with equal ``order`` do not make each other late; an empty table gives no rows.
     """
-    return _joined(df, group, time, order, period_ms, lateness_ms).where("outcome <> 'on_time'").select(F.col("_seq").alias(order), "outcome")
-
-
-def corrected_counts(df: DataFrame, group: Sequence[str], time: str, order: str, period_ms: int = 3_600_000, lateness_ms: int = 21_600_000) -> DataFrame:
-    """(group..., period_start_ms, n_on_time, n_corrects, n_cut_off, n): counts per source and period of event time.
+    return _joined(df, group, time, order, period_ms, lateness_ms, source, idle).where("outcome <> 'on_time'").select(F.col("_seq").alias(order), "outcome")
+
+
+def corrected_counts(
+    df: DataFrame,
+    group: Sequence[str],
+    time: str,
+    order: str,
+    period_ms: int = 3_600_000,
+    lateness_ms: int = 21_600_000,
+    source: str | None = None,
+    idle: Idle | None = None,
+) -> DataFrame:
+    """(group..., period_start_ms, n_on_time, n_corrects, n_cut_off, n): counts per group and period of event time.
 
     ``n`` takes in records on time and corrections, not what was cut off. Other definitions as in late_records.
     """
     count = lambda what: F.count(F.when(F.col("outcome") == what, 1))
     return (
-        _joined(df, group, time, order, period_ms, lateness_ms)
+        _joined(df, group, time, order, period_ms, lateness_ms, source, idle)
         .groupBy(*group, F.col("_p").alias("period_start_ms"))
         .agg(
             count("on_time").alias("n_on_time"),

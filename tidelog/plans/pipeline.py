@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.operators.deduplicate import mark_copies
 from tidelog.operators.heavy import heavy_keys, key_counts
 from tidelog.operators.implausible import Measure, implausible_readings
-from tidelog.operators.late import corrected_counts, group_punctuations, late_records
+from tidelog.operators.late import Idle, corrected_counts, late_records, punctuations
 from tidelog.operators.regular import regular_grid
 from tidelog.operators.snapshots import Entity, snapshot_changes
 from tidelog.runtime import table
@@ -54,7 +54,14 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 def p3_closed(spark: SparkSession, d: str) -> DataFrame:
     """Where each topic's hour closes once all of its partitions have passed it, idle ones not waited for."""
     rows = table(spark, d, "records_in")
-    return group_punctuations(rows, ["topic"], "target_partition", "timestamp_ms", "arrival_seq", "append_ms", 3_600_000, 7_200_000)
+    closed = punctuations(rows, ["topic"], "target_partition", "timestamp_ms", "arrival_seq", idle=Idle("append_ms", 7_200_000))
+    return closed.select("topic", "period", "close_seq")
+
+
+def p3_waiting(spark: SparkSession, d: str) -> DataFrame:
+    """The late records of topics whose hours wait for all of their partitions."""
+    rows = table(spark, d, "records_in")
+    return late_records(rows, ["topic"], "timestamp_ms", "arrival_seq", source="target_partition", idle=Idle("append_ms", 7_200_000))
 
 
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +90,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_kept, p3_found, p3_counts, p3_closed, p4_found, p4_grid, p5_found, p6_found, p6_counts)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_kept, p3_found, p3_counts, p3_closed, p3_waiting, p4_found, p4_grid, p5_found, p6_found, p6_counts)}
 
 
 # Readings with the level of their neighbours, their runs, rates of change and what is usual.
@@ -112,6 +119,22 @@ g AS (SELECT *, least(abs(off), coalesce(d1, 'inf'::DOUBLE), coalesce(d2, 'inf':
 k AS (SELECT broker_id, metric_name, timestamp_ms // 3600000 AS hour, count(off) AS known, any_value(least) AS least, quantile_cont(off, [0.05, 0.25, 0.75, 0.95]) AS q FROM e GROUP BY ALL),
 z AS (SELECT broker_id, metric_name, hour, greatest(CASE WHEN q[3] > q[2] THEN (q[3] - q[2]) / 1.349 ELSE (q[4] - q[1]) / 3.29 END, least) AS hour_scatter FROM k WHERE known >= 30)"""
 
+# Where hours of topics close and are cut off, waiting for all partitions but those idle for two hours.
+_CLOSED = """
+WITH r AS (SELECT topic, target_partition AS src, timestamp_ms // 3600000 * 3600000 AS p, arrival_seq AS seq, append_ms AS wall FROM records_in WHERE timestamp_ms IS NOT NULL AND append_ms IS NOT NULL),
+s AS (SELECT topic, src, p, min(seq) AS first_seq, max(wall) AS last_wall FROM r GROUP BY ALL),
+g AS (SELECT a.topic, a.p, b.src, first_seq, last_wall FROM (SELECT DISTINCT topic, p FROM s) a JOIN (SELECT DISTINCT topic, src FROM s) b USING (topic)
+      LEFT JOIN s ON s.topic = a.topic AND s.p = a.p AND s.src = b.src),
+w AS (SELECT *, min(first_seq) OVER (PARTITION BY topic, src ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS pass_seq,
+        min(first_seq) OVER (PARTITION BY topic, src ORDER BY p RANGE BETWEEN 25200000 FOLLOWING AND UNBOUNDED FOLLOWING) AS pass_cut,
+        max(last_wall) OVER (PARTITION BY topic, src ORDER BY p ROWS UNBOUNDED PRECEDING) AS quiet_from FROM g),
+t AS (SELECT topic, wall // 60000 AS tick, min(seq) AS tick_seq FROM r GROUP BY ALL),
+l AS (SELECT topic, tick, min(tick_seq) OVER (PARTITION BY topic ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tick_seq FROM t),
+x AS (SELECT w.*, tick_seq AS timeout FROM (SELECT *, (quiet_from + 7200000 + 59999) // 60000 AS due FROM w WHERE quiet_from IS NOT NULL) w
+      ASOF LEFT JOIN l ON w.topic = l.topic AND w.due <= l.tick),
+c AS (SELECT topic, p, CASE WHEN count(least(pass_seq, timeout)) = count(*) THEN max(least(pass_seq, timeout)) END AS close_seq,
+        CASE WHEN count(least(pass_cut, timeout)) = count(*) THEN max(least(pass_cut, timeout)) END AS cut_seq FROM x GROUP BY ALL)"""
+
 SQL = {
     "p1_found": f"""{_READINGS}
 SELECT broker_id, timestamp_ms, metric_name FROM g JOIN u USING (broker_id, metric_name)
@@ -137,6 +160,9 @@ WITH w AS (SELECT topic, timestamp_ms // 3600000 * 3600000 AS p, max(timestamp_m
 o AS (SELECT topic, p, CASE WHEN w >= p + 25200000 THEN 2 WHEN w >= p + 3600000 THEN 1 ELSE 0 END AS o FROM w)
 SELECT topic, p AS period_start_ms, count(*) FILTER (o = 0) AS n_on_time, count(*) FILTER (o = 1) AS n_corrects,
        count(*) FILTER (o = 2) AS n_cut_off, count(*) FILTER (o < 2) AS n FROM o GROUP BY ALL""",
+    "p3_closed": f"{_CLOSED} SELECT topic, p AS period, close_seq FROM c",
+    "p3_waiting": f"""{_CLOSED} SELECT seq AS arrival_seq, CASE WHEN seq > cut_seq THEN 'cut_off' ELSE 'corrects' END AS outcome
+FROM r JOIN c USING (topic, p) WHERE seq > close_seq""",
     "p4_found": """
 WITH m AS (SELECT DISTINCT broker_id, timestamp_ms // 60000 AS t FROM heartbeats
            WHERE broker_id IS NOT NULL AND timestamp_ms IS NOT NULL AND cpu_usage IS NOT NULL AND NOT isnan(cpu_usage)),
