@@ -5,6 +5,10 @@ of key hashes, row hashes and check hashes. Subtracting a predecessor's table ca
 is, so what is left depends on the differences alone; peeling cells with a single entry recovers the differing pairs of
 key hash and row hash. Buckets that don't peel, or whose digest is not explained by what was recovered, are
 done again with larger tables. Recovered keys are then looked up among the rows and classified.
+
+The rows are shuffled once. Each task first packs its own rows: repeated ones go, and an entity that looks the same in
+many snapshots is sent as one state with their numbers. All snapshots of an owner's bucket meet in one task, which
+makes each snapshot's tables once and subtracts neighbours. Owners with many rows have many buckets.
 """
 
 from __future__ import annotations
@@ -14,19 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.arrow import codes, whole_groups
 from tidelog.runtime import cut, small
 
 CELLS = 24
 GROW = 4
 HASHES = 3
-BUCKET_ROWS = 2048
+#: Entities of a snapshot that one table is meant for, and rows of an owner that meet in one task.
+BUCKET_ROWS, GROUP_ROWS = 2048, 1 << 17
+#: Rows that a task packs at a time.
+LOCAL_ROWS = 1 << 18
 #: After this many rounds a bucket has more cells than rows can fill; what is left then is compared row by row.
 ROUNDS = 6
-#: Salts that set the check and digest hashes apart from those of the cells.
-CHECK, DIGEST = -1, -1000
+#: Salts that set the check, digest and state hashes apart from those of the cells.
+CHECK, DIGEST, STATE, TWIN = -1, -1000, -2000, -3000
 
 # Fixed values of the public XXH64 function.
 XXH64_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
@@ -42,44 +50,26 @@ class Entity:
     compared: Sequence[str]
 
 
-def _entities(kinds: Sequence[Entity], owner: str, number: str) -> DataFrame:
-    """(owner, no, kind, id, kh, vh): one row per snapshot and entity, rows that repeat count once.
-
-    Rows of one entity that differ within a snapshot are one state, whatever their order.
-    """
+def _rows(listed: DataFrame, kinds: Sequence[Entity], owner: str, number: str, group_rows: int) -> DataFrame:
+    """(h, owner, bucket, kind, id, kh, state, no) of every row; ``kind`` -1 are the listed numbers, once for each bucket."""
     parts = []
-    for k in kinds:
-        state = F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in k.compared])
-        parts.append(
-            k.rows.select(F.col(owner).alias("owner"), F.col(number).cast("long").alias("no"), F.lit(k.kind).alias("kind"), k.name.alias("id"), state.alias("state"))
-        )
+    for k, e in enumerate(kinds):
+        state = F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in e.compared])
+        parts.append(e.rows.select(F.col(owner).alias("owner"), F.col(number).cast("long").alias("no"), F.lit(k).alias("kind"), e.name.cast("string").alias("id"), state.alias("state")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    states = F.sort_array(F.collect_set("state"))
-    return (
-        rows.where(F.col("owner").isNotNull() & F.col("no").isNotNull() & F.col("id").isNotNull())
-        .groupBy("owner", "no", "kind", "id")
-        .agg(F.xxhash64(states).alias("vh"))
-        .withColumn("kh", F.xxhash64("kind", "id"))
-    )
-
-
-def _pairs(listed: DataFrame, owner: str, number: str) -> DataFrame:
-    """(owner, no, prev): every listed snapshot that has a predecessor in the list."""
-    once = (
-        listed.select(F.col(owner).alias("owner"), F.col(number).cast("long").alias("no"))
-        .where(F.col("owner").isNotNull() & F.col("no").isNotNull())
-        .distinct()
-    )
-    return once.withColumn("prev", F.lag("no").over(Window.partitionBy("owner").orderBy("no"))).where(F.col("prev").isNotNull())
-
-
-def _sided(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each entity row once as the later side (+1) of its snapshot's pair, once as the earlier one (-1) of the next pair."""
-    later = pairs.select("owner", "no", F.col("no").alias("pair"), F.lit(1).alias("sign"))
-    earlier = pairs.select("owner", F.col("prev").alias("no"), F.col("no").alias("pair"), F.lit(-1).alias("sign"))
-    return entities.join(later.unionByName(earlier), ["owner", "no"])
+    rows = rows.where(F.col("owner").isNotNull() & F.col("no").isNotNull() & F.col("id").isNotNull()).withColumn("kh", F.xxhash64("kind", "id"))
+    sizes = rows.groupBy("owner").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("buckets"))
+    sizes = small(cut(sizes))
+    rows = rows.join(sizes, "owner").withColumn("bucket", F.pmod("kh", "buckets").cast("int"))
+    none = F.lit(None)
+    numbers = listed.select(F.col(owner).alias("owner"), F.col(number).cast("long").alias("no")).where(F.col("owner").isNotNull() & F.col("no").isNotNull())
+    # An owner without any row has no changes.
+    numbers = numbers.join(sizes, "owner").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    numbers = numbers.select("owner", "no", F.lit(-1).alias("kind"), none.cast("string").alias("id"), none.cast("long").alias("kh"), none.cast("long").alias("state"), "bucket")
+    both = rows.select(*numbers.columns).unionByName(numbers)
+    return both.select(F.xxhash64("owner", "bucket").alias("h"), "owner", "bucket", "kind", "id", F.coalesce("kh", F.lit(0)).alias("kh"), F.coalesce("state", F.lit(0)).alias("state"), "no")
 
 
 def _hash(a: str, b: str, salt: int) -> Column:
@@ -104,39 +94,19 @@ def _hash_np(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _subtracted(sided: DataFrame, cells: int, seed: int) -> DataFrame:
-    """The difference of both sides' tables: as cells add up, both sides go into one aggregate, +1 or -1 each."""
-    place = F.array(*[F.pmod(_hash("kh", "vh", seed * HASHES + i), F.lit(cells)) + F.lit(i * cells) for i in range(HASHES)])
-    return (
-        sided.withColumn("check", _hash("vh", "kh", CHECK - seed))
-        .withColumn("digest", _hash("kh", "vh", DIGEST))
-        .withColumn("cell", F.explode(place))
-        .groupBy("owner", "pair", "bucket", "cell")
-        .agg(
-            F.sum("sign").alias("n"),
-            F.bit_xor("kh").alias("kx"),
-            F.bit_xor("vh").alias("vx"),
-            F.bit_xor("check").alias("cx"),
-            F.bit_xor("digest").alias("dx"),
-        )
-        .where("n <> 0 or kx <> 0 or vx <> 0 or cx <> 0 or dx <> 0")
-    )
-
-
-def peel(group: np.ndarray, cell: np.ndarray, n, kx, vx, cx, dx, cells: int, seed: int):
-    """Peels many tables at once. ``group`` numbers them from 0; the other arrays are the contents of their nonempty cells.
+def peel(group: np.ndarray, cell: np.ndarray, n, kx, vx, cx, digest: np.ndarray, cells: int, seed: int):
+    """Peels many tables at once. ``group`` numbers them from 0; the other arrays are the contents of their nonempty cells,
+    and the difference of the digests of each table's two sides.
 
     Returns (group, key hash, row hash, sign) of the entries recovered and, per group, whether its table came out empty
     and its digest is that of the recovered entries.
     """
-    groups = int(group.max()) + 1 if len(group) else 0
+    digest = digest.copy()
     width = HASHES * cells
     address = group * width + cell
     order = np.argsort(address)
     address = address[order]
     n, kx, vx, cx = (x[order].copy() for x in (n, kx, vx, cx))
-    digest = np.zeros(groups, np.int64)
-    np.bitwise_xor.at(digest, group, dx)
     out: list[tuple[np.ndarray, ...]] = []
     live = np.arange(len(address))
     while len(live):
@@ -173,95 +143,268 @@ def peel(group: np.ndarray, cell: np.ndarray, n, kx, vx, cx, dx, cells: int, see
     return found, ok
 
 
-_PEELED = "owner string, pair long, bucket long, ok boolean, kh long, vh long, sign int"
-
-
-def _peel_table(t: pa.Table, cells: int, seed: int) -> pa.Table:
-    """Rows of whole tables in, one row per recovered entry out; one row with ok = false for a table that failed."""
-    key = t.select(["owner", "pair", "bucket"]).to_pandas()
-    group, firsts = key.groupby(["owner", "pair", "bucket"], sort=False).ngroup().to_numpy(), None
-    firsts = np.unique(group, return_index=True)[1]
-    col = lambda c: t.column(c).to_numpy()
-    (g, k, v, sign), ok = peel(group, *(col(c).astype(np.int64) for c in ("cell", "n", "kx", "vx", "cx", "dx")), cells, seed)
-    good = ok[g]
-    bad = np.flatnonzero(~ok)
-    rows = np.concatenate([firsts[g[good]], firsts[bad]])
-    fill = lambda x, kind: pa.array(np.concatenate([x[good], np.zeros(len(bad), np.int64)]).astype(kind))
-    at = pa.array(rows)
-    return pa.table(
-        {
-            "owner": t.column("owner").take(at).combine_chunks(),
-            "pair": t.column("pair").take(at).combine_chunks(),
-            "bucket": t.column("bucket").take(at).combine_chunks(),
-            "ok": pa.array(np.arange(len(rows)) < good.sum()),
-            "kh": fill(k, np.int64),
-            "vh": fill(v, np.int64),
-            "sign": fill(sign, np.int32),
-        }
-    )
-
-
-def _peel_sorted(cells: int, seed: int):
-    """Many small tables at a time; the rows come sorted, so only the last table of a batch waits for the next batch."""
+def _changed(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns differs from the row before; true on the first row."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    new[:1] = True
+    return new
+
+
+def _lists(values: np.ndarray | pa.Array, starts: np.ndarray, n: int) -> pa.ListArray:
+    """Lists of successive values, each starting where one of the ``starts`` is."""
+    ends = np.append(starts, n).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+_PACKED = "h long, owner {owner}, bucket int, id array<string>, kind array<int>, kh array<long>, entity array<int>, state array<long>, pair array<int>, no array<long>, listed array<long>"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task packed per owner and bucket: entities, their distinct states, and the snapshots of each state."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        held.clear()
+        own, ids = codes(t.column("owner")), codes(t.column("id"))
+        bucket, kind, state, no = (t.column(c).to_numpy() for c in ("bucket", "kind", "state", "no"))
+        order = np.lexsort((no, state, ids, kind, bucket, own))
+        o, b, k, i, s, n = (x[order] for x in (own, bucket, kind, ids, state, no))
+        keep = _changed(o, b, k, i, s, n)
+        order, o, b, k, i, s, n = (x[keep] for x in (order, o, b, k, i, s, n))
+        group = _changed(o, b)
+        # The listed numbers come first in each group.
+        starts, real = np.flatnonzero(group), k >= 0
+        of = np.cumsum(group) - 1
+        entity, pair = _changed(of, k, i) & real, _changed(of, k, i, s) & real
+        count = lambda mask: np.cumsum(mask) - mask
+        at = lambda mask: count(mask)[starts]
+        e, p = np.cumsum(entity) - 1, np.cumsum(pair) - 1
+        within = lambda number, mask, rows: (number - np.repeat(at(mask), np.diff(np.append(starts, len(o)))))[rows].astype(np.int32)
+        rows = pa.array(order[starts])
+        return pa.RecordBatch.from_arrays(
+            [
+                _flat(t.column("h").take(rows)),
+                _flat(t.column("owner").take(rows)),
+                _flat(t.column("bucket").take(rows)),
+                _lists(_flat(t.column("id").take(pa.array(order[entity]))), at(entity), int(entity.sum())),
+                _lists(k[entity].astype(np.int32), at(entity), int(entity.sum())),
+                _lists(_flat(t.column("kh").take(pa.array(order[entity]))), at(entity), int(entity.sum())),
+                _lists(within(e, entity, pair), at(pair), int(pair.sum())),
+                _lists(s[pair], at(pair), int(pair.sum())),
+                _lists(within(p, pair, real), at(real), int(real.sum())),
+                _lists(n[real], at(real), int(real.sum())),
+                _lists(n[~real], at(~real), int((~real).sum())),
+            ],
+            names=["h", "owner", "bucket", "id", "kind", "kh", "entity", "state", "pair", "no", "listed"],
+        )
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= LOCAL_ROWS:
+            yield flush()
+    if sum(x.num_rows for x in held):
+        yield flush()
+
 
+class _Bucket:
+    """All snapshots of some owners' buckets: their distinct entity rows, and the listed numbers.
+
+    ``kh`` tells the entities of a group apart for certain: those whose hashes coincide are given others.
+    """
+
+    def __init__(self, t: pa.Table):
+        lists = {c: _flat(t.column(c)) for c in ("id", "kind", "kh", "entity", "state", "pair", "no", "listed")}
+        sizes = {c: np.diff(x.offsets.to_numpy()) for c, x in lists.items()}
+        flat = {c: x.flatten() for c, x in lists.items()}
+        value = {c: flat[c].to_numpy(zero_copy_only=False) for c in ("kind", "kh", "entity", "state", "pair", "no", "listed")}
+        part = codes(t.column("owner")).astype(np.int64) * (1 << 32) + t.column("bucket").to_numpy()
+        _, self.part, group = np.unique(part, return_index=True, return_inverse=True)
+        of = lambda c: np.repeat(np.arange(len(group)), sizes[c])
+        first = lambda c: (np.cumsum(sizes[c]) - sizes[c])
+
+        # One number for each entity of a group, whichever task it came from.
+        g, ids = group[of("id")], codes(flat["id"])
+        order = np.lexsort((ids, value["kind"], g))
+        new = _changed(g[order], value["kind"][order], ids[order])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        at = order[new]
+        self.id, self.kind, self.group, self.kh = flat["id"].take(pa.array(at)), value["kind"][at], g[at], value["kh"][at].copy()
+        while True:
+            order = np.lexsort((self.kh, self.group))
+            twins = order[1:][(self.kh[order][1:] == self.kh[order][:-1]) & (self.group[order][1:] == self.group[order][:-1])]
+            if not len(twins):
+                break
+            self.kh[twins] = _hash_np(self.kh[twins], twins, TWIN)
+        self.by_key = order
+
+        # The listed snapshots of each group, in order.
+        g, no = group[of("listed")], value["listed"]
+        order = np.lexsort((no, g))
+        new = _changed(g[order], no[order])
+        self.snap_group, self.snap_no = g[order][new], no[order][new]
+
+        # Distinct rows of listed snapshots, the states of one entity in one snapshot being one.
+        pair = first("state")[of("pair")] + value["pair"]
+        entity = number[(first("id")[of("state")] + value["entity"])[pair]]
+        state, no = value["state"][pair], value["no"]
+        snap = self._snapshot(self.group[entity], no)
+        order = np.lexsort((state, entity, snap))
+        order = order[snap[order] >= 0]
+        snap, entity, state = snap[order], entity[order], state[order]
+        keep = _changed(snap, entity, state)
+        snap, entity, state = snap[keep], entity[keep], state[keep]
+        new = _changed(snap, entity)
+        starts = np.flatnonzero(new)
+        n = np.diff(np.append(starts, len(snap)))
+        vh = _hash_np(state[starts], np.zeros(len(starts), np.int64), STATE)
+        for j in range(1, int(n.max(initial=1))):
+            more = np.flatnonzero(n > j)
+            vh[more] = _hash_np(vh[more], state[starts[more] + j], STATE)
+        self.snap, self.entity, self.vh = snap[starts], entity[starts], vh
+
+    def _snapshot(self, group: np.ndarray, no: np.ndarray) -> np.ndarray:
+        """The place of each (group, number) among the listed ones, -1 if it isn't."""
+        if not len(self.snap_no):
+            return np.full(len(no), -1)
+        numbers, code = np.unique(np.concatenate([self.snap_no, no]), return_inverse=True)
+        wide = len(numbers)
+        have, want = self.snap_group * wide + code[: len(self.snap_no)], group * wide + code[len(self.snap_no) :]
+        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        return np.where(have[at] == want, at, -1)
+
+
+def _cells(kh: np.ndarray, vh: np.ndarray, table: np.ndarray, sign: np.ndarray, tables: int, cells: int, seed: int) -> list[np.ndarray]:
+    """[count, key, row and check sums of every cell, digests of every table] of entries put into tables."""
+    width = HASHES * cells
+    n, kx, vx, cx = (np.zeros(tables * width, np.int64) for _ in range(4))
+    check = _hash_np(vh, kh, CHECK - seed)
+    for i in range(HASHES):
+        at = table * width + np.mod(_hash_np(kh, vh, seed * HASHES + i), cells) + i * cells
+        np.add.at(n, at, sign)
+        for x, y in ((kx, kh), (vx, vh), (cx, check)):
+            np.bitwise_xor.at(x, at, y)
+    digest = np.zeros(tables, np.int64)
+    np.bitwise_xor.at(digest, table, _hash_np(kh, vh, DIGEST))
+    return [n, kx, vx, cx, digest]
+
+
+def _peeled(sums: list[np.ndarray], tables: int, cells: int, seed: int):
+    n, kx, vx, cx, digest = sums
+    at = np.flatnonzero((n != 0) | (kx != 0) | (vx != 0) | (cx != 0))
+    width = HASHES * cells
+    return peel(at // width, at % width, n[at], kx[at], vx[at], cx[at], digest, cells, seed)
+
+
+def _differences(b: _Bucket, bucket_rows: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(snapshot, key hash, sign) of every entry that a listed snapshot has and its predecessor has not, or the other way round."""
+    kh = b.kh[b.entity]
+    groups = int(b.snap_group.max()) + 1
+    # Tables per snapshot, by its group's fullest one; a snapshot's tables lie side by side, then come its successor's.
+    most = np.zeros(groups, np.int64)
+    np.maximum.at(most, b.snap_group, np.bincount(b.snap, minlength=len(b.snap_no)))
+    subs = np.maximum(-(-most // bucket_rows), 1)
+    first = np.cumsum(subs[b.snap_group]) - subs[b.snap_group]
+    table = first[b.snap] + np.mod(_hash_np(kh, np.zeros(len(kh), np.int64), STATE), subs[b.snap_group[b.snap]])
+    total = int(subs[b.snap_group].sum())
+    n, kx, vx, cx, digest = _cells(kh, b.vh, table, np.ones(len(kh), np.int64), total, CELLS, 0)
+    of_table = np.repeat(np.arange(len(b.snap_no)), subs[b.snap_group])
+    follows = np.r_[False, b.snap_group[1:] == b.snap_group[:-1]]
+    later = np.flatnonzero(follows[of_table])
+    earlier = later - subs[b.snap_group[of_table[later]]]
+    width = HASHES * CELLS
+    apart = lambda x: (x.reshape(-1, width)[later] ^ x.reshape(-1, width)[earlier]).ravel()
+    less = (n.reshape(-1, width)[later] - n.reshape(-1, width)[earlier]).ravel()
+    (g, k, v, sign), ok = _peeled([less, apart(kx), apart(vx), apart(cx), digest[later] ^ digest[earlier]], len(later), CELLS, 0)
+    out = [(of_table[later[g[ok[g]]]], k[ok[g]], sign[ok[g]])]
+
+    order = np.argsort(table, kind="stable")
+    ends = np.searchsorted(table[order], np.arange(total + 1))
+    failed, cells = np.flatnonzero(~ok), CELLS
+    for seed in range(1, rounds):
+        if not len(failed):
+            break
+        cells *= GROW
+        pair, row, sign = _sided(order, ends, later[failed], earlier[failed])
+        (g, k, v, s), ok = _peeled(_cells(kh[row], b.vh[row], pair, sign, len(failed), cells, seed), len(failed), cells, seed)
+        out.append((of_table[later[failed[g[ok[g]]]]], k[ok[g]], s[ok[g]]))
+        failed = failed[~ok]
+    if len(failed):
+        pair, row, sign = _sided(order, ends, later[failed], earlier[failed])
+        at = np.lexsort((b.vh[row], kh[row], pair))
+        pair, row, sign = pair[at], row[at], sign[at]
+        new = np.flatnonzero(_changed(pair, kh[row], b.vh[row]))
+        left = np.add.reduceat(sign, new) if len(new) else sign
+        new, left = new[left != 0], left[left != 0]
+        out.append((of_table[later[failed[pair[new]]]], kh[row[new]], left))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+
+
+def _sided(order: np.ndarray, ends: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, row, sign) of the rows of both sides' tables."""
+    parts = []
+    for tables, sign in ((later, 1), (earlier, -1)):
+        n = ends[tables + 1] - ends[tables]
+        at = np.repeat(ends[tables] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        parts.append((np.repeat(np.arange(len(tables)), n), order[at], np.full(len(at), sign)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _compare(names: Sequence[str], bucket_rows: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            last = held.slice(held.num_rows - 1).to_pylist()[0]
-            same = np.ones(held.num_rows, bool)
-            for c in ("owner", "pair", "bucket"):
-                same &= np.asarray([x == last[c] for x in held.column(c).to_pylist()]) if c == "owner" else held.column(c).to_numpy() == last[c]
-            end = int(np.argmax(same))
-            if end and end >= 1 << 12:
-                yield from _peel_table(held.slice(0, end), cells, seed).to_batches()
-                held = held.slice(end)
-        if held is not None and held.num_rows:
-            yield from _peel_table(held, cells, seed).to_batches()
+        for t in whole_groups(batches, ["h"], 64):
+            b = _Bucket(t)
+            if not len(b.snap_no) or not len(b.entity):
+                continue
+            snap, kh, sign = _differences(b, bucket_rows, rounds)
+            order = np.lexsort((sign, kh, snap))
+            snap, kh, sign = snap[order], kh[order], sign[order]
+            starts = np.flatnonzero(_changed(snap, kh))
+            n = np.diff(np.append(starts, len(snap)))
+            low, high = sign[starts], sign[starts + n - 1] if len(starts) else sign[starts]
+            what = np.where(low > 0, 0, np.where(high < 0, 1, 2))
+            snap, kh = snap[starts], kh[starts]
+            entity = _lookup(b, b.snap_group[snap], kh)
+            columns = [
+                _flat(t.column("owner").take(pa.array(b.part[b.snap_group[snap]]))),
+                pa.array(b.snap_no[snap]),
+                pa.array(np.array(names, object)[b.kind[entity]], pa.string()),
+                b.id.take(pa.array(entity)),
+                pa.array(np.array(["added", "removed", "changed"], object)[what], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["owner", "no", "entity_kind", "entity_id", "change_kind"])
 
     return run
 
 
-def snapshot_changes(listed: DataFrame, kinds: Sequence[Entity], owner: str, number: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _lookup(b: _Bucket, group: np.ndarray, kh: np.ndarray) -> np.ndarray:
+    """The entity of each (group, key hash)."""
+    keys, code = np.unique(np.concatenate([b.kh, kh]), return_inverse=True)
+    have, want = b.group * len(keys) + code[: len(b.kh)], group * len(keys) + code[len(b.kh) :]
+    return b.by_key[np.searchsorted(have[b.by_key], want)]
+
+
+def snapshot_changes(
+    listed: DataFrame, kinds: Sequence[Entity], owner: str, number: str, bucket_rows: int = BUCKET_ROWS, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """(owner, number, entity_kind, entity_id, change_kind) between each snapshot and the next lower one of its owner.
 
     ``listed`` names the snapshots; rows of others don't count, and a listed snapshot without rows of a kind has none of
     that kind. ``change_kind`` is ``added``, ``removed`` or ``changed`` (a compared column differs; null equals only null).
-    Defined results: repeated deliveries and rows count once; the first snapshot of an owner has no changes; rows
-    without owner, number or entity name belong to nothing; empty tables give no rows; columns not named are ignored.
+    Compared columns are compared by a 64-bit hash: a change is missed if both states have the same one, with a chance of
+    2^-64 for each; entities are told apart for certain. Defined results: repeated deliveries and rows count once; rows of one
+    entity that differ within a snapshot are one state, whatever their order; the first snapshot of an owner has no
+    changes; rows without owner, number or entity name belong to nothing; empty tables give no rows; columns not named are ignored.
     """
-    pairs = cut(_pairs(listed, owner, number))
-    rows = cut(_entities(kinds, owner, number))
-    buckets = rows.groupBy("owner", "no").agg(F.count("*").alias("n")).groupBy("owner").agg(F.ceil(F.max("n") / bucket_rows).alias("buckets"))
-    sided = (
-        _sided(rows.select("owner", "no", "kh", "vh"), small(pairs))
-        .join(small(cut(buckets)), "owner")
-        .select("owner", "pair", F.pmod(F.xxhash64("kh"), F.col("buckets")).alias("bucket"), "kh", "vh", "sign")
-    )
-    found: list[DataFrame] = []
-    todo, cells = sided, CELLS
-    for seed in range(ROUNDS):
-        tables = _subtracted(todo, cells, seed).repartition("owner", "pair", "bucket").sortWithinPartitions("owner", "pair", "bucket")
-        peeled = cut(tables.mapInArrow(_peel_sorted(cells, seed), _PEELED))
-        found.append(peeled.where("ok").select("owner", "pair", "kh", "vh", "sign"))
-        failed = cut(peeled.where("not ok").select("owner", "pair", "bucket"))
-        if failed.isEmpty():
-            break
-        todo = todo.join(small(failed), ["owner", "pair", "bucket"], "left_semi")
-        cells *= GROW
-    else:
-        left = todo.groupBy("owner", "pair", "kh", "vh").agg(F.sum("sign").cast("int").alias("sign"))
-        found.append(left.where("sign <> 0"))
-    entries = found[0]
-    for f in found[1:]:
-        entries = entries.unionByName(f)
-    before = small(pairs.select("owner", F.col("no").alias("pair"), "prev"))
-    entries = entries.join(before, ["owner", "pair"]).withColumn("no", F.when(F.col("sign") > 0, F.col("pair")).otherwise(F.col("prev")))
-    named = entries.join(rows, ["owner", "no", "kh", "vh"])
-    kind = F.when(F.min("sign") > 0, "added").when(F.max("sign") < 0, "removed").otherwise("changed")
-    return (
-        named.groupBy("owner", "pair", "kind", "id")
-        .agg(kind.alias("change_kind"))
-        .select(F.col("owner").alias(owner), F.col("pair").alias(number), F.col("kind").alias("entity_kind"), F.col("id").alias("entity_id"), "change_kind")
-    )
+    kind = listed.schema[owner].dataType.simpleString()
+    packed = _rows(listed, kinds, owner, number, group_rows).mapInArrow(_pack, _PACKED.format(owner=kind))
+    met = packed.repartition("h").sortWithinPartitions("h")
+    found = met.mapInArrow(_compare([k.kind for k in kinds], bucket_rows, ROUNDS), f"owner {kind}, no long, entity_kind string, entity_id string, change_kind string")
+    return found.select(F.col("owner").alias(owner), F.col("no").alias(number), "entity_kind", "entity_id", "change_kind")
