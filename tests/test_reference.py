@@ -1,8 +1,10 @@
 """Reference operators against given cases and plain restatements."""
 
+import gzip
 import random
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -223,12 +225,40 @@ def test_catalogue(spark):
     more = catalog.create_topics(topics, bad.where("topic = 'z'"))
     assert {r["topic"] for r in more.collect()} == {"old", "z"}
     assert {r["topic"] for r in catalog.delete_topics(more, spark.createDataFrame([("old",)], "topic string")).collect()} == {"z"}
-    b = spark.createDataFrame([("1", "h", 1), ("2", "h", 1)], "broker_id string, host string, at int")
-    newer = catalog.upsert_brokers(b, b.where("broker_id = '1'").withColumn("at", F.lit(5)).withColumn("host", F.lit("g")), "at")
-    assert {tuple(r) for r in newer.collect()} == {("1", "g", 5), ("2", "h", 1)}
+    b = spark.createDataFrame([("1", "h", 1, 3), ("2", "h", 1, 4)], "broker_id string, host string, port int, num_partitions int")
+    newer = catalog.register_brokers(b, b.where("broker_id = '1'").withColumn("host", F.lit("g")))
+    assert {tuple(r) for r in newer.collect()} == {("1", "g", 1, 0), ("2", "h", 1, 4)}
+    ups = spark.createDataFrame([("1", i, n, h) for i, (n, h) in enumerate([(3, "a"), (4, "b"), (4, "c"), (None, "d"), (None, "e")])], "broker_id string, at int, num_partitions int, host string")
+    assert [r["host"] for r in catalog.update_brokers(ups, ["broker_id"], "at").collect()] == ["d"]
+    assert [r["host"] for r in catalog.update_brokers(ups.where("at < 3"), ["broker_id"], "at").collect()] == ["b"]
     assert catalog.decommission(newer, b.where("broker_id = '1'")).count() == 1
 
 
+def test_contested_claims_go_to_who_has_room(spark):
+    previous = {"A": [("t", 0), ("t", 1)], "C": [("t", 1)]}
+    assert sticky(spark, "ABC", {"t": 3}, previous) == heap_sticky("ABC", {"t": 3}, previous) == {"A": [("t", 0)], "B": [("t", 2)], "C": [("t", 1)]}
+
+
+def test_owners_are_those_of_each_cluster(spark):
+    rows = [("a", 9, "t", 0, "b1"), ("a", 8, "t", 0, "b0"), ("a", 8, "t", 1, "b0"), ("z", 2, "t", 0, "b7"), ("z", 2, "t", 0, None), ("z", 2, "t", 1, None)]
+    df = spark.createDataFrame(rows, "controller_id string, snapshot_no long, topic string, target_partition int, broker_id string")
+    assert {tuple(r) for r in catalog.owners(df).collect()} == {("a", "t", 0, "b1"), ("z", "t", 0, "b7"), ("z", "t", 1, None)}
+
+
+def test_failed_batches_come_back_at_the_front(spark):
+    q = spark.createDataFrame([("t", 0, n, n * 10, r) for n, r in ((1, 0), (2, 3), (3, 2), (4, 0), (5, 1))], "topic string, target_partition int, batch_no long, created_ms long, retries int")
+    failed = spark.createDataFrame([(1, 100), (2, 101), (3, 102)], "batch_no long, failed_ms long")
+    got = {r["batch_no"]: (r["place"], r["retries"], r["is_dropped"]) for r in batching.requeue(q, failed, ["topic", "target_partition"], ProducerSettings()).collect()}
+    assert got == {3: (1, 3, False), 1: (2, 1, False), 4: (3, 0, False), 5: (4, 1, False), 2: (None, 3, True)}
+
+
+def test_generations_count_rounds(spark):
+    joins = spark.createDataFrame([("g", "a", ["x", "y"], 1), ("g", "b", ["y"], 2), ("g", "a", ["x"], 5), ("g", "b", [], 6), ("g", "c", ["y"], 9), ("g", "d", ["x"], 10), ("g", "e", ["z"], 20)], "group_id string, member string, protocols array<string>, arrival long")
+    closes = spark.createDataFrame([("g", 3), ("g", 7), ("g", 8), ("g", 15)], "group_id string, arrival long")
+    got = [tuple(r)[:5] for r in groups.join_rounds(joins, closes).orderBy("round").collect()]
+    assert got == [("g", "a", 2, 1, "y"), ("g", "a", 1, 2, "x"), ("g", "c", 2, -1, None), ("g", "e", 1, 4, "z")]
+
+
 def test_liveness(spark):
     s = BrokerSettings(heartbeat_interval_ms=1000, missed_heartbeats=3)
     rows = [("BROKER-1", "h", 5000, 1, 1, 4, 1, 1, 1.0), ("BROKER-1", "h", 3000, 0, 2, 5, 1, 1, 1.0), ("BROKER-2", "h", 2999, 1, 3, 1, 1, 1, 1.0), ("BROKER-0", " ", None, 1, 4, 9, 1, 1, 1.0)]
@@ -248,6 +278,15 @@ def test_codecs(codec):
     if codec != "none":
         assert len(codecs.compress_bytes(codec, b"A" * 1000)) < 100
     assert codecs.codec_name(codecs.codec_id(codec.upper())) == codec
+    data = b"some records " * 50
+    if codec == "gzip":
+        assert gzip.decompress(codecs.compress_bytes(codec, data)) == data and codecs.decompress_bytes(codec, gzip.compress(data[:99]) + gzip.compress(data[99:])) == data
+    if codec == "zstd":
+        assert zstandard.decompress(codecs.compress_bytes(codec, data)) == data and codecs.decompress_bytes(codec, zstandard.compress(data)) == data
+        with pytest.raises(ValueError):
+            codecs.decompress_bytes(codec, zstandard.ZstdCompressor(write_content_size=False).compress(data))
+    if codec == "lz4":
+        assert codecs.compress_bytes(codec, data)[:4] == len(data).to_bytes(4, "big")
     for bad in (lambda: codecs.codec_id("invalid"), lambda: codecs.codec_name(99), lambda: codecs.decompress_bytes("zstd", b"\0\0\0\0abc")):
         with pytest.raises(ValueError):
             bad()

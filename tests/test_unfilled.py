@@ -19,6 +19,7 @@ def test_long_values_are_listed(spark, tmp_path):
     records = spark.read.parquet(f"{DATA}/records_in.parquet")
     long = F.when(F.col("arrival_seq") % 500 == 7, F.repeat(F.lit("x"), F.lit(2_000))).when(F.col("arrival_seq") % 500 == 8, F.repeat(F.lit("x"), F.lit(20_000)))
     records.withColumn("record_value", F.coalesce(long, "record_value")).coalesce(1).write.parquet(f"{tmp_path}/records_in.parquet")
+    spark.read.parquet(f"{DATA}/topics.parquet").write.parquet(f"{tmp_path}/topics.parquet")
     found = [tuple(r) for r in reference.fill_rejects(spark, str(tmp_path)).select("arrival_seq", "fill", "reject").collect()]
     assert {(f, r) for _, f, r in found} == {("batch", "oversize"), ("flush", "oversize"), ("segment", "oversize")}
     n = {f: sum(g == f for _, g, _ in found) for f in ("batch", "segment")}

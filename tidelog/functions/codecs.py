@@ -1,9 +1,16 @@
-"""Payload codecs, by Arrow batches: Spark SQL has none of them as a function."""
+"""Payload codecs, by Arrow batches: Spark SQL has none of them as a function.
+
+Streams are the standard ones, so other programs can read them and be read: gzip members, raw snappy, zstd frames. Only an
+lz4 block has four bytes before it, the length of its content, as the block itself doesn't tell.
+"""
 
 from __future__ import annotations
 
+import gzip
+
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -38,7 +45,9 @@ def compress_bytes(codec: str, data: bytes | None) -> bytes | None:
         return len(data).to_bytes(4, "big") + pa.compress(data, codec="lz4_raw", asbytes=True)
     if codec == "snappy":  # the raw format carries the length itself
         return pa.compress(data, codec="snappy", asbytes=True)
-    return len(data).to_bytes(4, "big") + pa.compress(data, codec=codec, asbytes=True)
+    if codec == "gzip":
+        return gzip.compress(data, mtime=0)
+    return pa.compress(data, codec="zstd", asbytes=True)  # a frame with its content's size
 
 
 def decompress_bytes(codec: str, data: bytes | None) -> bytes | None:
@@ -52,10 +61,20 @@ def decompress_bytes(codec: str, data: bytes | None) -> bytes | None:
             if b < 0x80:
                 break
         return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True)
+    if codec == "gzip":
+        return gzip.decompress(data)
+    if codec == "zstd":
+        try:
+            size = zstandard.frame_content_size(data)
+        except zstandard.ZstdError:
+            size = -1
+        if size <= 0:
+            raise ValueError("unknown length of zstd data")
+        return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
     size = int.from_bytes(data[:4], "big")
     if size <= 0:
-        raise ValueError(f"unknown length of {codec} data")
-    return pa.decompress(data[4:], decompressed_size=size, codec="lz4_raw" if codec == "lz4" else codec, asbytes=True)
+        raise ValueError("unknown length of lz4 data")
+    return pa.decompress(data[4:], decompressed_size=size, codec="lz4_raw", asbytes=True)
 
 
 @F.pandas_udf(BinaryType())

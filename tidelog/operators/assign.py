@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,22 +50,42 @@ def assign_round_robin(members: DataFrame, topics: DataFrame) -> DataFrame:
     return dealt.join(turns, F.pmod(F.col("at"), F.col("m")) == F.col("i")).select("member", "topic", "partition")
 
 
+def _take_turns(claims: pd.DataFrame) -> pd.DataFrame:
+    """What members keep of contested partitions: one after the other takes what is left, up to its share."""
+    claims = claims.sort_values(["member", "topic_pos", "topic", "partition"])
+    taken: set = set()
+    load: dict = {}
+    kept = []
+    for m, t, p, share in zip(claims["member"], claims["topic"], claims["partition"], claims["share"], strict=True):
+        keep = (t, p) not in taken and load.get(m, 0) < share
+        if keep:
+            taken.add((t, p))
+            load[m] = load.get(m, 0) + 1
+        kept.append(keep)
+    return claims.loc[kept, ["member", "topic", "partition"]]
+
+
 def assign_sticky(members: DataFrame, topics: DataFrame, previous: DataFrame) -> DataFrame:
     """Members keep what they had, up to an even share; the rest goes to whoever has least.
 
     ``previous`` is (member, topic, partition, topic_pos), topic_pos giving the order of a member's topics. First each
-    member keeps its previous partitions that still exist and no member before it in name has claimed, in that order, up to
-    the total divided by the members, rounded up. Then the remaining partitions by topic and id go to the
+    member, in order of name, keeps its previous partitions that still exist and no member before it has taken, in that
+    order, up to the total divided by the members, rounded up. Members that claim something nobody else does depend on no
+    other and are cut off by rank; the others, by nature few, take their turns in one task. Then the remaining partitions by topic and id go to the
     member with the fewest, of equal ones the first in name: the n-th of them takes the n-th slot by (level, member).
     """
     ranks = _ranked_members(members)
     whole = universe(topics)
     shares = F.broadcast(whole.agg(F.count("*").alias("p")).crossJoin(ranks.agg(F.count("*").alias("m"))).select(F.ceil(F.col("p") / F.greatest("m", F.lit(1))).alias("share")))
     valid = previous.join(ranks.select("member"), "member").join(whole, ["topic", "partition"])
-    claim = Window.partitionBy("topic", "partition").orderBy("member", "topic_pos")
-    claims = valid.withColumn("_c", F.row_number().over(claim)).where("_c = 1").drop("_c")
+    claims = valid.groupBy("member", "topic", "partition").agg(F.min("topic_pos").alias("topic_pos"))
+    claims = claims.withColumn("_rivals", F.count("*").over(Window.partitionBy("topic", "partition")) - 1)
+    claims = claims.withColumn("_rivals", F.max("_rivals").over(Window.partitionBy("member"))).crossJoin(shares)
     place = Window.partitionBy("member").orderBy("topic_pos", "topic", "partition")
-    kept = claims.crossJoin(shares).withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= F.col("share")).select("member", "topic", "partition")
+    alone = claims.where("_rivals = 0").withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= F.col("share")).select("member", "topic", "partition")
+    kinds = ", ".join(f"{c} {claims.schema[c].dataType.simpleString()}" for c in ("member", "topic", "partition"))
+    contested = claims.where("_rivals > 0").select("member", "topic", "partition", "topic_pos", "share", F.lit(0).alias("_all"))
+    kept = alone.unionByName(contested.groupBy("_all").applyInPandas(_take_turns, kinds))
 
     loads = ranks.join(kept.groupBy("member").agg(F.count("*").alias("load")), "member", "left").select("member", F.coalesce("load", F.lit(0)).alias("load"))
     # No partition ever goes to a member that has an even share already, so slots end there.
@@ -93,6 +114,14 @@ def encoded(assignment: DataFrame) -> DataFrame:
     )
 
 
+def per_member(members: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(member, text): what each member is told of an assignment, ``t=0,1;t2=3``; an empty text if it has nothing."""
+    listed = assignment.groupBy("member", "topic").agg(F.sort_array(F.collect_list("partition")).alias("ps"))
+    own = listed.select("member", F.struct("topic", F.concat_ws(",", F.transform("ps", lambda p: p.cast("string"))).alias("ids")).alias("t"))
+    own = own.groupBy("member").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.concat(t["topic"], F.lit("="), t["ids"])), ";").alias("text"))
+    return members.select("member").distinct().join(own, "member", "left").select("member", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def decoded(text: Column) -> Column:
     """Array of (member, topic, partition) of such a text."""
     member = lambda m: F.split(m, ":", 2)

@@ -58,3 +58,18 @@ def drain(ready_batches: DataFrame, owners: DataFrame, cursors: DataFrame, keys:
         .where((F.col("run_bytes") <= most_bytes) | (F.col("drain_no") == 0))
         .drop("_i", "_n", "cursor")
     )
+
+
+def requeue(queue: DataFrame, failures: DataFrame, keys: Sequence[str], settings: ProducerSettings) -> DataFrame:
+    """The queues after failed sends: failed batches with attempts left come back at the front, the others are dropped.
+
+    ``queue`` is (keys..., batch_no, created_ms, retries, ...) of all batches; ``failures`` (batch_no, failed_ms), each batch at
+    most once. Adds ``place`` (1, 2... within keys; null if dropped) and ``is_dropped``. Each batch goes before all others when it
+    fails, so of several the last to fail is first; batches that have not failed keep their order of age.
+    """
+    rows = queue.join(failures.select("batch_no", "failed_ms"), "batch_no", "left")
+    failed = F.col("failed_ms").isNotNull()
+    rows = rows.withColumn("is_dropped", failed & (F.col("retries") >= settings.retries)).withColumn("retries", F.when(failed & ~F.col("is_dropped"), F.col("retries") + 1).otherwise(F.col("retries")))
+    order = [F.col("is_dropped"), F.col("failed_ms").desc_nulls_last(), F.when(failed, -F.col("batch_no")), "created_ms", "batch_no"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("place", F.when(~F.col("is_dropped"), place)).drop("failed_ms")

@@ -35,18 +35,62 @@ def delete_topics(topics: DataFrame, names: DataFrame) -> DataFrame:
     return topics.join(names.select("topic"), "topic", "left_anti")
 
 
-def upsert_brokers(brokers: DataFrame, updates: DataFrame, order: str) -> DataFrame:
-    """Registrations and updates (broker_id, ..., order): the latest row of each broker, old ones included."""
-    both = brokers.unionByName(updates)
-    latest = F.row_number().over(Window.partitionBy("broker_id").orderBy(F.col(order).desc()))
-    return both.withColumn("_r", latest).where("_r = 1").drop("_r")
+def topics_named(topics: DataFrame, names: DataFrame) -> DataFrame:
+    """(topic, exists, num_partitions) of the names asked for, in the catalogue or not."""
+    known = topics.select("topic", "num_partitions", F.lit(True).alias("_known"))
+    return names.select("topic").distinct().join(known, "topic", "left").select("topic", F.coalesce("_known", F.lit(False)).alias("exists"), "num_partitions")
+
+
+def register_brokers(brokers: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Brokers (broker_id, host, port, num_partitions) after registrations (broker_id, host, port): one that registers has no partitions yet."""
+    new = registrations.select("broker_id", "host", "port", F.lit(0).alias("num_partitions"))
+    return brokers.join(new.select("broker_id"), "broker_id", "left_anti").select(*new.columns).unionByName(new)
+
+
+def update_brokers(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each broker (keys) that holds after its updates in ``order``: one with the same number of partitions changes nothing.
+
+    So of the last updates with one number of partitions the first holds. Null is a number of its own.
+    """
+    by = Window.partitionBy(*keys).orderBy(order)
+    n = F.col("num_partitions")
+    effective = updates.withColumn("_no", F.row_number().over(by)).withColumn("_was", F.lag("num_partitions").over(by)).where((F.col("_no") == 1) | ~n.eqNullSafe(F.col("_was")))
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_no").desc()))
+    return effective.withColumn("_last", last).where("_last = 1").drop("_no", "_was", "_last")
 
 
 def decommission(brokers: DataFrame, gone: DataFrame) -> DataFrame:
     return brokers.join(gone.select("broker_id"), "broker_id", "left_anti")
 
 
+def latest_snapshot(rows: DataFrame, cluster: str = "controller_id", number: str = "snapshot_no") -> DataFrame:
+    """The distinct rows of each cluster's latest snapshot."""
+    last = rows.groupBy(cluster).agg(F.max(number).alias("_last")).withColumnRenamed(cluster, "_cluster")
+    return rows.join(last, (F.col(cluster) == F.col("_cluster")) & (F.col(number) == F.col("_last"))).drop("_cluster", "_last").distinct()
+
+
 def owners(snap_partitions: DataFrame) -> DataFrame:
-    """(topic, target_partition, broker_id): who owns each partition by the snapshot with the highest number."""
-    latest = F.max(F.struct("snapshot_no", "controller_id", "broker_id"))["broker_id"]
-    return snap_partitions.groupBy("topic", "target_partition").agg(latest.alias("broker_id"))
+    """(controller_id, topic, target_partition, broker_id): who owns each partition by its cluster's latest snapshot.
+
+    Of rows that contradict each other the greatest broker id counts.
+    """
+    latest = latest_snapshot(snap_partitions.select("controller_id", "snapshot_no", "topic", "target_partition", "broker_id"))
+    return latest.groupBy("controller_id", "topic", "target_partition").agg(F.max("broker_id").alias("broker_id"))
+
+
+def cluster_metadata(brokers: DataFrame, partitions: DataFrame) -> DataFrame:
+    """(controller_id, broker_id, address, num_partitions, n_owned) of each cluster's latest snapshot."""
+    owned = owners(partitions).groupBy("controller_id", "broker_id").agg(F.count("*").alias("n_owned"))
+    own = latest_snapshot(brokers).groupBy("controller_id", "broker_id").agg(F.max(F.struct(F.concat_ws(":", "host", "port").alias("address"), "num_partitions")).alias("b"))
+    return own.join(owned, ["controller_id", "broker_id"], "left").select("controller_id", "broker_id", "b.address", "b.num_partitions", F.coalesce("n_owned", F.lit(0)).alias("n_owned"))
+
+
+def as_map(details: DataFrame, owner: str, key: str, fields: list[str]) -> DataFrame:
+    """(owner, details): a map from key to the struct of fields, one row per owner. One owner's details are few."""
+    pairs = F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value")))
+    return details.where(F.col(key).isNotNull()).groupBy(owner).agg(F.map_from_entries(pairs).alias("details"))
+
+
+def from_map(maps: DataFrame, owner: str, key: str) -> DataFrame:
+    """The rows of such maps."""
+    return maps.select(owner, F.explode("details").alias(key, "_v")).select(owner, key, "_v.*")

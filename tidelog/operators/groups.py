@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,26 @@ def join_round(joins: DataFrame) -> DataFrame:
     )
 
 
+def join_rounds(joins: DataFrame, closes: DataFrame) -> DataFrame:
+    """The same for successive rounds: (group_id, leader, n_members, generation, protocol, status), one row per round.
+
+    ``closes`` (group_id, arrival) are the moments at which a group's round ends; the next join after one starts a new round with
+    nobody in it. Joins without protocols are refused and start none. Generations count the rounds that were started, from 1;
+    a round that ends without a shared protocol has generation -1, but counts.
+    """
+    valid = joins.where(F.size(F.coalesce("protocols", F.array().cast("array<string>"))) > 0)
+    events = valid.select("group_id", "member", "protocols", "arrival", F.lit(0).alias("_close")).unionByName(
+        closes.select("group_id", "arrival", F.lit(1).alias("_close")), allowMissingColumns=True
+    )
+    # A close counts for what comes after it.
+    before = Window.partitionBy("group_id").orderBy("arrival", "_close").rowsBetween(Window.unboundedPreceding, 0)
+    rounds = events.withColumn("_round", F.sum("_close").over(before)).where("_close = 0").drop("_close")
+    each = join_round(rounds.withColumn("group_id", F.struct(F.col("group_id").alias("g"), F.col("_round").alias("r"))).drop("_round"))
+    started = F.row_number().over(Window.partitionBy("group_id.g").orderBy("group_id.r"))
+    numbered = each.withColumn("generation", F.when(F.col("status") == "SUCCESS", started).otherwise(-1))
+    return numbered.select(F.col("group_id.g").alias("group_id"), "leader", "n_members", "generation", "protocol", "status", F.col("group_id.r").alias("round"))
+
+
 def leave(members: DataFrame, leaving: DataFrame) -> DataFrame:
     """The members that stay; assignments are then made anew."""
     return members.join(leaving.select("member"), "member", "left_anti")

@@ -29,6 +29,19 @@ def alive(heartbeats: DataFrame, now_ms: int, settings: BrokerSettings) -> DataF
     return latest(heartbeats).withColumn("is_alive", F.coalesce(F.lit(now_ms) - F.col("last_ms") <= silence, F.lit(False)))
 
 
+def marked(heartbeats: DataFrame, marks: DataFrame, now_ms: int, settings: BrokerSettings) -> DataFrame:
+    """Brokers with is_alive after ``marks`` (broker_id, kind, arrival_seq): ``offline`` takes a broker out until its next heartbeat
+    arrives, ``remove`` makes it unknown until then."""
+    last = heartbeats.groupBy(F.col("broker_id").alias("_b")).agg(F.max("arrival_seq").alias("_seen"))
+    said = marks.groupBy(F.col("broker_id").alias("_m")).agg(
+        F.max(F.when(F.col("kind") == "offline", F.col("arrival_seq"))).alias("_off"), F.max(F.when(F.col("kind") == "remove", F.col("arrival_seq"))).alias("_gone")
+    )
+    rows = alive(heartbeats, now_ms, settings)
+    rows = rows.join(last, F.col("broker_id").eqNullSafe(F.col("_b"))).join(said, F.col("broker_id") == F.col("_m"), "left")
+    rows = rows.where(~F.coalesce(F.col("_gone") > F.col("_seen"), F.lit(False)))
+    return rows.withColumn("is_alive", F.col("is_alive") & ~F.coalesce(F.col("_off") > F.col("_seen"), F.lit(False))).drop("_b", "_m", "_seen", "_off", "_gone")
+
+
 def least_loaded(brokers: DataFrame) -> DataFrame:
     """(broker_id, partition_count): of those alive with load information the one with the fewest partitions, then by id."""
     known = brokers.where(F.col("is_alive") & F.col("partition_count").isNotNull())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.text import segment_name
 from tidelog.operators.folding import greedy_fill
 from tidelog.operators.order import numbered
+from tidelog.runtime import small
 
 #: Bytes of a record's frame (offset, byte position, length) and of its timestamp (fixed values).
 FRAME, TIMESTAMP = 12, 8
@@ -29,18 +30,41 @@ def record_size(topic: Column, key: Column, value: Column, headers: Column) -> C
 
 
 def accept(records: DataFrame, size: str, partition: str, num_partitions: str, largest: int = OVERSIZE) -> DataFrame:
-    """Adds ``reject``: why a record can't be stored, null if it can. Rejects get no offsets."""
+    """Adds ``reject``: why a record can't be stored, null if it can. Rejects get no offsets.
+
+    A record is empty if it has neither key, value nor headers: its size is that of its frame and topic.
+    """
     p = F.col(partition)
+    bare = F.lit(FRAME + TIMESTAMP) + F.octet_length("topic")
     return records.withColumn(
         "reject",
         F.when(F.col("topic").isNull() | (F.trim("topic") == ""), "no topic")
         .when(F.col(num_partitions).isNull(), "unknown topic")
         .when(p.isNull() | (p < 0) | (p >= F.col(num_partitions)), "invalid partition")
-        .when(F.col(size) <= 0, "empty")
+        .when(F.col(size) <= bare, "empty")
         .when(F.col(size) > largest, "oversize"),
     )
 
 
+def checked(records: DataFrame, topics: DataFrame, largest: int = OVERSIZE) -> DataFrame:
+    """Records (topic, target_partition, record_key, record_value[, headers]) with ``reject``, judged by the catalogue and by size."""
+    headers = F.col("headers") if "headers" in records.columns else F.lit(None).cast("array<struct<header_key:string,header_value:binary>>")
+    size = record_size(F.col("topic"), F.col("record_key"), F.col("record_value"), headers)
+    catalogue = small(topics.select(F.col("topic").alias("_topic"), F.col("num_partitions").alias("_partitions")))
+    rows = records.join(catalogue, F.col("topic") == F.col("_topic"), "left").withColumn("_size", size)
+    return accept(rows, "_size", "target_partition", "_partitions", largest).drop("_topic", "_partitions", "_size")
+
+
+def round_robin_batches(batches: DataFrame, topics: DataFrame, order: str) -> DataFrame:
+    """Adds ``partition``: whole batches take turns over their topic's partitions, by one counter over all topics.
+
+    Batches of topics that are unknown or have no partitions are left out: they are errors to their producer.
+    """
+    some = small(topics.where("num_partitions > 0").select("topic", "num_partitions"))
+    turns = numbered(batches.join(some, "topic"), [], order, "_turn")
+    return turns.withColumn("partition", F.pmod("_turn", "num_partitions").cast("int")).drop("_turn", "num_partitions")
+
+
 def assign_offsets(records: DataFrame, keys: Sequence[str], order: str, marks: DataFrame | None = None, name: str = "offset") -> DataFrame:
     """Adds dense offsets per partition in append order, from 0 or from the high-water marks (keys..., next_offset)."""
     out = numbered(records, keys, order, name)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import uuid
+from dataclasses import fields
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +23,8 @@ from tidelog.operators.folding import unfilled
 from tidelog.operators.routing import known_topics, route
 from tidelog.operators.snapshots import Entity, snapshot_changes
 from tidelog.plans.reference_sql import NOW_MS, SQL  # noqa: F401
-from tidelog.runtime import cut, shared_dir, small, table
-from tidelog.sources.log_store import decode, encode, read_log, stream_table
+from tidelog.runtime import cut, scratch, small, table
+from tidelog.sources.log_store import commit_offsets, decode, encode, fetch_offsets, read_from, read_log, stamped, stored_log, stream_table
 from tidelog.streaming.ingest import ingest_all
 
 KEYS = ["topic", "target_partition"]
@@ -37,13 +36,28 @@ def _records(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "records_in")
 
 
-def _sized(s: SparkSession, d: str) -> DataFrame:
+def _with_size(rows: DataFrame) -> DataFrame:
     size = L.record_size(F.col("topic"), F.col("record_key"), F.col("record_value"), F.col("headers"))
-    return _records(s, d).select(*KEYS, "arrival_seq", "timestamp_ms", "record_key", "record_value", size.alias("size_bytes"))
+    return rows.select(*KEYS, "arrival_seq", "batch_no", "ack_status", "append_ms", "timestamp_ms", "record_key", "record_value", size.alias("size_bytes"))
+
+
+def _sized(s: SparkSession, d: str) -> DataFrame:
+    return _with_size(_records(s, d))
+
+
+def _log(s: SparkSession, d: str, largest: int = L.OVERSIZE) -> DataFrame:
+    """The records that can be stored, with their offsets; the others are in ``_rejects`` and get none."""
+    rows = L.checked(_records(s, d), table(s, d, "topics"), largest).where("reject is null")
+    return L.assign_offsets(_with_size(rows), KEYS, "arrival_seq")
+
 
+def _rejects(s: SparkSession, d: str, largest: int = L.OVERSIZE) -> DataFrame:
+    return L.checked(_records(s, d), table(s, d, "topics"), largest).where("reject is not null")
 
-def _log(s: SparkSession, d: str) -> DataFrame:
-    return L.assign_offsets(_sized(s, d), KEYS, "arrival_seq")
+
+def _stored(s: SparkSession, log: DataFrame) -> DataFrame:
+    """The log as it is read back from the shared folder."""
+    return stored_log(log, scratch(s, "log"))
 
 
 def route_by_key_hash(s: SparkSession, d: str) -> DataFrame:
@@ -62,9 +76,28 @@ def route_precedence(s: SparkSession, d: str) -> DataFrame:
 
 
 def partition_counts(s: SparkSession, d: str) -> DataFrame:
-    """Route, number and count: the whole write path."""
-    routed = route(_records(s, d).withColumn("explicit", _wanted()), table(s, d, "topics"), "explicit", "record_key", "arrival_seq")
-    return L.log_bounds(L.assign_offsets(routed.select("topic", "partition", "arrival_seq"), ["topic", "partition"], "arrival_seq"), ["topic", "partition"])
+    """Route, reject, number and count: the whole write path."""
+    routed = route(_with_size(_records(s, d)).withColumn("explicit", _wanted()), table(s, d, "topics"), "explicit", "record_key", "arrival_seq")
+    kept = L.accept(routed, "size_bytes", "partition", "num_partitions").where("reject is null")
+    return L.log_bounds(L.assign_offsets(kept.select("topic", "partition", "arrival_seq"), ["topic", "partition"], "arrival_seq"), ["topic", "partition"])
+
+
+#: A limit that some records of all data are beyond.
+LARGEST = 150
+
+
+def rejects_stored(s: SparkSession, d: str) -> DataFrame:
+    """What the write path refuses, with a limit of LARGEST bytes; with stored_offsets all records."""
+    return _rejects(s, d, LARGEST).select("arrival_seq", *KEYS, "reject")
+
+
+def stored_offsets(s: SparkSession, d: str) -> DataFrame:
+    """The offsets of all other records, read back from the stored log: none is spent on a reject."""
+    return _stored(s, _log(s, d, LARGEST)).select("arrival_seq", *KEYS, "offset")
+
+
+def batch_round_robin(s: SparkSession, d: str) -> DataFrame:
+    return L.round_robin_batches(table(s, d, "batches"), table(s, d, "topics"), "batch_no").select("batch_no", "topic", "partition")
 
 
 def rejected_records(s: SparkSession, d: str) -> DataFrame:
@@ -83,8 +116,7 @@ def log_bounds(s: SparkSession, d: str) -> DataFrame:
 
 
 def publish_ack(s: SparkSession, d: str) -> DataFrame:
-    log = L.assign_offsets(_records(s, d).select(*KEYS, "arrival_seq", "batch_no"), KEYS, "arrival_seq")
-    return L.last_ack(log, "batch_no")
+    return L.last_ack(_log(s, d).select("batch_no", "offset"), "batch_no")
 
 
 def fetch_at_offset(s: SparkSession, d: str) -> DataFrame:
@@ -95,11 +127,23 @@ def fetch_at_offset(s: SparkSession, d: str) -> DataFrame:
     return L.fetch(log, asked, KEYS)
 
 
+def fetch_stored(s: SparkSession, d: str) -> DataFrame:
+    """The same from the stored log: the requests prune its folders, and only the columns asked for are read."""
+    log = _stored(s, _log(s, d))
+    asked = L.log_bounds(log.select(*KEYS, "offset"), KEYS).select(*KEYS, F.explode(F.array(F.floor(F.col("end_offset") / 2), F.col("end_offset"))).alias("offset"))
+    return L.fetch(log, cut(asked), KEYS)
+
+
+def poll_stored(s: SparkSession, d: str) -> DataFrame:
+    """Ten records from offset 20 on of the first partition of the topic that is first by name, from the stored log."""
+    log = _stored(s, _log(s, d))
+    first = log.agg(F.min(F.struct(*KEYS)).alias("p")).first()["p"]
+    return read_from(log, first["topic"], first["target_partition"], 20, 10).select("arrival_seq", *KEYS, "offset", "record_value")
+
+
 def _commits(s: SparkSession, d: str) -> DataFrame:
     """Acknowledged records count as committed when they were appended."""
-    return L.assign_offsets(_records(s, d).select(*KEYS, "arrival_seq", "ack_status", "append_ms"), KEYS, "arrival_seq").where(
-        "ack_status = 'SUCCESS'"
-    ).select(*KEYS, "offset", F.col("append_ms").alias("commit_ts"))
+    return _log(s, d).where("ack_status = 'SUCCESS'").select(*KEYS, "offset", F.col("append_ms").alias("commit_ts"))
 
 
 def poll_range(s: SparkSession, d: str) -> DataFrame:
@@ -113,13 +157,21 @@ def consumer_lag(s: SparkSession, d: str) -> DataFrame:
     return L.lag(L.log_bounds(_log(s, d), KEYS), L.latest_commits(_commits(s, d), KEYS), KEYS)
 
 
+def committed_offsets(s: SparkSession, d: str) -> DataFrame:
+    """Commits of two groups, of even and of odd batches, stored and fetched again."""
+    rows = _log(s, d).where("ack_status = 'SUCCESS'").withColumn("group_id", F.concat(F.lit("group-"), F.col("batch_no") % 2))
+    path = scratch(s, "commits")
+    commit_offsets(rows.withColumn("commit_ts", F.col("append_ms")), path)
+    return fetch_offsets(s, path)
+
+
 def segment_roll(s: SparkSession, d: str) -> DataFrame:
-    """Segments of 16 KiB, so that they roll in small data too."""
-    return L.segment_table(L.segments(_log(s, d), KEYS, "arrival_seq", "size_bytes", 16_384), KEYS)
+    """Segments of 16 KiB, so that they roll in small data too. Records that are larger are rejected before they are numbered."""
+    return L.segment_table(L.segments(_log(s, d, 16_384), KEYS, "arrival_seq", "size_bytes", 16_384), KEYS)
 
 
 def offset_index(s: SparkSession, d: str) -> DataFrame:
-    return L.segments(_log(s, d), KEYS, "arrival_seq", "size_bytes", 16_384).select(*KEYS, "offset", "segment_base_offset", "byte_pos")
+    return L.segments(_log(s, d, 16_384), KEYS, "arrival_seq", "size_bytes", 16_384).select(*KEYS, "offset", "segment_base_offset", "byte_pos")
 
 
 def flush_groups(s: SparkSession, d: str) -> DataFrame:
@@ -135,7 +187,7 @@ def batch_fill(s: SparkSession, d: str) -> DataFrame:
 
 
 def fill_rejects(s: SparkSession, d: str) -> DataFrame:
-    """The records that batch_fill, flush_groups, segment_roll and offset_index leave out, and why."""
+    """The records that fills of batches, flushes and segments leave out, and why."""
     rows = _sized(s, d).select("arrival_seq", *KEYS, "size_bytes")
     out = [
         ("batch", B.rejects(rows, KEYS, "arrival_seq", "size_bytes", PRODUCER)),
@@ -165,18 +217,27 @@ def batch_expired(s: SparkSession, d: str) -> DataFrame:
     return B.with_state(table(s, d, "batches"), NOW_MS, PRODUCER).where("is_expired").select("batch_no", "age_ms", "may_retry")
 
 
+def retry_queue(s: SparkSession, d: str) -> DataFrame:
+    """The queues after the sends of every fifth batch have failed, the later ones last."""
+    batches = table(s, d, "batches").select(*KEYS, "batch_no", "created_ms", "retries")
+    failures = batches.where("batch_no % 5 = 0").select("batch_no", (F.col("created_ms") + 1000).alias("failed_ms"))
+    return B.requeue(batches, failures, KEYS, PRODUCER).select(*KEYS, "batch_no", "retries", "is_dropped", "place")
+
+
 def _owners(s: SparkSession, d: str) -> DataFrame:
     return C.owners(table(s, d, "snap_partitions"))
 
 
 def drain_request(s: SparkSession, d: str) -> DataFrame:
     own = _owners(s, d)
+    first = own.agg(F.min("controller_id").alias("controller_id"))  # one row: the cluster that is drained to
+    own = own.join(F.broadcast(first), "controller_id").drop("controller_id")
     cursors = own.where(F.col("broker_id").isNotNull()).select("broker_id").distinct().withColumn("cursor", broker_number(F.col("broker_id")))
     return B.drain(_ready(s, d), own, cursors, KEYS, 2_048).select("broker_id", *KEYS, "batch_no", "drain_no", "run_bytes")
 
 
 def partition_owner(s: SparkSession, d: str) -> DataFrame:
-    """Every partition of the catalogue with its owner, null if it has none."""
+    """Every partition of the catalogue with its owner in each cluster that lists it, null if it has none."""
     whole = A.universe(table(s, d, "topics"))
     own = _owners(s, d).withColumnRenamed("target_partition", "partition")
     return whole.join(own, ["topic", "partition"], "left")
@@ -186,7 +247,7 @@ def broker_partitions(s: SparkSession, d: str) -> DataFrame:
     own = _owners(s, d).where(F.col("broker_id").isNotNull())
     listed = F.sort_array(F.collect_list(F.struct("topic", "target_partition")))  # a broker's partitions
     texts = F.transform(listed, lambda x: topic_partition(x["topic"], x["target_partition"]))
-    return own.groupBy("broker_id").agg(F.count("*").alias("n_partitions"), F.array_join(texts, " ").alias("partitions"))
+    return own.groupBy("controller_id", "broker_id").agg(F.count("*").alias("n_partitions"), F.array_join(texts, " ").alias("partitions"))
 
 
 def _members(s: SparkSession, d: str) -> DataFrame:
@@ -230,6 +291,29 @@ def assign_sticky_join(s: SparkSession, d: str) -> DataFrame:
     return A.assign_sticky(_members(s, d).select("member"), _topics(s, d), _as_previous(before))
 
 
+def _claims(s: SparkSession, d: str) -> DataFrame:
+    """A previous assignment in which neighbours claim the same partitions: what range gives members, and what it gives those of the next region."""
+    one = cut(A.assign_range(_members(s, d).select("member"), _topics(s, d)))
+    two = cut(A.assign_range(_members(s, d).where("n_regionkey <> 2").select("member"), _topics(s, d)))
+    return one.unionByName(two).distinct()
+
+
+def assign_sticky_contested(s: SparkSession, d: str) -> DataFrame:
+    return A.assign_sticky(_members(s, d).select("member"), _topics(s, d), _as_previous(_claims(s, d)))
+
+
+def group_sync(s: SparkSession, d: str) -> DataFrame:
+    """What each member is told of a range assignment."""
+    return A.per_member(_members(s, d), assign_range(s, d))
+
+
+def assignor_choice(s: SparkSession, d: str) -> DataFrame:
+    """What names of strategies stand for."""
+    names = {A.assign_range: "range", A.assign_round_robin: "roundrobin", A.assign_sticky: "sticky"}
+    asked = ["range", "RoundRobin", "STICKY", "other", None]
+    return s.createDataFrame([(n, names[A.assignor(n)]) for n in asked], "name string, strategy string")
+
+
 def assignment_encoded(s: SparkSession, d: str) -> DataFrame:
     return A.encoded(assign_range(s, d))
 
@@ -251,6 +335,16 @@ def protocol_choice(s: SparkSession, d: str) -> DataFrame:
     return G.join_round(joins)
 
 
+def protocol_rounds(s: SparkSession, d: str) -> DataFrame:
+    """The same customers in rounds: a group's round ends with each customer of one nation."""
+    protocols = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("roundrobin"), F.lit("range"))).otherwise(F.array(F.lit("range"), F.lit("sticky"), F.lit("roundrobin")))
+    lone = F.when(F.col("c_custkey") % 50 == 7, F.array(F.lit("custom"))).when(F.col("c_custkey") % 50 == 8, F.array().cast("array<string>")).otherwise(protocols)
+    rows = table(s, d, "customer")
+    joins = rows.select(F.col("c_mktsegment").alias("group_id"), F.col("c_name").alias("member"), lone.alias("protocols"), F.col("c_custkey").alias("arrival"))
+    closes = rows.where("c_nationkey = 3").select(F.col("c_mktsegment").alias("group_id"), F.col("c_custkey").alias("arrival"))
+    return G.join_rounds(joins, closes)
+
+
 def broker_latest(s: SparkSession, d: str) -> DataFrame:
     return V.latest(table(s, d, "heartbeats")).select("broker_id", "last_ms", "partition_count", "connection_count", "available_memory")
 
@@ -268,6 +362,16 @@ def alive_loads(s: SparkSession, d: str) -> DataFrame:
     return broker_latest(s, d).join(live, "broker_id", "left_semi")
 
 
+def broker_marks(s: SparkSession, d: str) -> DataFrame:
+    """Liveness after some brokers were taken offline or removed halfway or at the end."""
+    beats = table(s, d, "heartbeats")
+    number = broker_number(F.col("broker_id"))
+    kind = F.when(number % 4 == 1, "offline").when(number % 4 == 2, "remove")
+    at = F.when(number % 3 == 0, F.min("arrival_seq") + 1).otherwise(F.max("arrival_seq") + 1)
+    marks = beats.groupBy("broker_id").agg(at.alias("arrival_seq")).withColumn("kind", kind).where("kind is not null")
+    return V.marked(beats, marks, NOW_MS, BROKER).select("broker_id", "last_ms", "is_alive")
+
+
 def least_loaded(s: SparkSession, d: str) -> DataFrame:
     return V.least_loaded(V.alive(table(s, d, "heartbeats"), NOW_MS, BROKER))
 
@@ -323,6 +427,55 @@ def create_topics_validation(s: SparkSession, d: str) -> DataFrame:
     return checked.groupBy("reject").agg(F.count("*").alias("n_topics"), F.sum("num_partitions").cast("long").alias("n_partitions"))
 
 
+def topics_asked(s: SparkSession, d: str) -> DataFrame:
+    """Whether topics are in the catalogue, with their partitions."""
+    names = table(s, d, "snap_topics").select(F.when(F.col("snapshot_no") % 7 == 0, F.concat(F.lit("no-"), F.col("topic"))).otherwise(F.col("topic")).alias("topic"))
+    return C.topics_named(table(s, d, "topics"), names)
+
+
+def broker_updates(s: SparkSession, d: str) -> DataFrame:
+    """The row of each cluster's broker after all its snapshots came as updates."""
+    rows = table(s, d, "snap_brokers").groupBy("controller_id", "broker_id", "snapshot_no").agg(F.max("num_partitions").alias("num_partitions"))
+    return C.update_brokers(rows, ["controller_id", "broker_id"], "snapshot_no")
+
+
+def cluster_metadata(s: SparkSession, d: str) -> DataFrame:
+    return C.cluster_metadata(table(s, d, "snap_brokers"), table(s, d, "snap_partitions"))
+
+
+def metadata_maps(s: SparkSession, d: str) -> DataFrame:
+    """The latest brokers of each cluster as a map of structs, and back."""
+    rows = C.latest_snapshot(table(s, d, "snap_brokers").select("controller_id", "snapshot_no", "broker_id", "host", "port"))
+    return C.from_map(C.as_map(rows, "controller_id", "broker_id", ["host", "port"]), "controller_id", "broker_id")
+
+
+def settings_defaults(s: SparkSession, d: str) -> DataFrame:
+    both = [(type(x).__name__, f.name, str(getattr(x, f.name))) for x in (ProducerSettings(), BrokerSettings()) for f in fields(x)]
+    return s.createDataFrame(both, "settings string, name string, value string")
+
+
+def settings_checked(s: SparkSession, d: str) -> DataFrame:
+    """Which values of the checked settings are taken."""
+    tried = [(c, n, v) for c, n in ((ProducerSettings, "batch_size"), (BrokerSettings, "heartbeat_interval_ms"), (BrokerSettings, "missed_heartbeats"), (BrokerSettings, "heartbeat_timeout_ms"))
+             for v in (0, 1, 10, 11, 99, 100, 30_000, 30_001, 60_000, 60_001, 1_048_576, 1_048_577)]
+
+    def taken(kind, name, value) -> bool:
+        try:
+            return getattr(kind.of({name: str(value)}), name) == value
+        except ValueError:
+            return False
+
+    return s.createDataFrame([(n, v, taken(c, n, v)) for c, n, v in tried], "name string, value int, is_taken boolean")
+
+
+def stamped_records(s: SparkSession, d: str) -> DataFrame:
+    """Records without a timestamp get the present one, the others keep theirs."""
+    rows = stamped(_records(s, d).withColumn("given", F.col("timestamp_ms")))
+    same = F.col("given").eqNullSafe(F.col("timestamp_ms"))
+    late = F.col("timestamp_ms") > NOW_MS
+    return rows.groupBy("topic").agg(F.count("timestamp_ms").alias("n_stamped"), F.count(F.when(same, 1)).alias("n_given"), F.count(F.when(~same & late, 1)).alias("n_new"))
+
+
 def metadata_diff(s: SparkSession, d: str) -> DataFrame:
     """Which snapshots differ from their predecessors, so that listeners are told."""
     kinds = [
@@ -351,24 +504,27 @@ def compression_ratio(s: SparkSession, d: str) -> DataFrame:
 
 
 def codec_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    """Records as opaque bytes and back."""
-    columns = ["arrival_seq", "topic", "target_partition", "record_key", "record_value", "timestamp_ms"]
-    wire = encode(_records(s, d), columns)
-    return decode(wire, "arrival_seq long, topic string, target_partition int, record_key string, record_value string, timestamp_ms long")
+    """Records as opaque bytes and back, nulls and headers included; the headers' bytes are then written as hex."""
+    columns = ["arrival_seq", "topic", "target_partition", "record_key", "record_value", "timestamp_ms", "headers"]
+    back = decode(encode(_records(s, d), columns), _records(s, d).select(*columns).schema)
+    each = F.transform("headers", lambda h: F.concat_ws("=", F.coalesce(h["header_key"], F.lit("~")), F.coalesce(F.hex(h["header_value"]), F.lit("~"))))
+    return back.withColumn("headers", F.array_join(each, ";"))
 
 
 def stream_append_counts(s: SparkSession, d: str) -> DataFrame:
     """The records as a stream, appended to a log in micro-batches, then counted."""
-    stream = stream_table(s, d, "records_in", _records(s, d).schema).select("arrival_seq", *KEYS, "timestamp_ms", "record_key", "record_value")
-    folder = os.path.join(shared_dir(s), f"append-{uuid.uuid4().hex}")
-    return L.log_bounds(read_log(s, ingest_all(stream, folder)), KEYS)
+    stream = stream_table(s, d, "records_in", _records(s, d).schema).select("arrival_seq", *KEYS, "timestamp_ms", "record_key", "record_value", "headers")
+    folder = scratch(s, "append")
+    return L.log_bounds(read_log(s, ingest_all(stream, folder, topics=table(s, d, "topics"))), KEYS)
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            partition_counts, route_by_key_hash, route_precedence, rejected_records, assign_offsets, log_bounds, publish_ack, fetch_at_offset, poll_range,
+            rejects_stored, stored_offsets, batch_round_robin, fetch_stored, poll_stored, committed_offsets, retry_queue, assign_sticky_contested, group_sync,
+            assignor_choice, protocol_rounds, broker_marks, topics_asked, broker_updates, cluster_metadata, metadata_maps, settings_defaults, settings_checked,
+            stamped_records, partition_counts, route_by_key_hash, route_precedence, rejected_records, assign_offsets, log_bounds, publish_ack, fetch_at_offset, poll_range,
             consumer_lag, segment_roll, offset_index, flush_groups, batch_fill, fill_rejects, in_flight, batch_ready, batch_expired, drain_request, partition_owner,
             broker_partitions, assign_range, assign_round_robin, assign_sticky_initial, assign_sticky_leave, assign_sticky_join, assignment_encoded,
             assignment_decoded, subscription_counts, protocol_choice, broker_latest, broker_liveness, alive_count, alive_loads, least_loaded,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,18 @@ def _local_dir() -> str:
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for results that are read lazily; what is there is removed when Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove_if_possible, spark, path)
+    return path
+
+
+def _remove_if_possible(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder, if it is there."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -52,25 +52,59 @@ def encode(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.select("topic", "target_partition", F.encode(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), "UTF-8").alias("data"))
 
 
-def decode(wire: DataFrame, schema: str) -> DataFrame:
+def decode(wire: DataFrame, schema: str | T.StructType) -> DataFrame:
     """The records of wire rows."""
     return wire.select(F.from_json(F.decode("data", "UTF-8"), schema).alias("r")).select("r.*")
 
 
 def append(log: DataFrame, path: str, batch: int | None = None) -> None:
-    """Appends records to the log. A numbered batch that comes again replaces itself, so retries store nothing twice."""
+    """Appends records to the log. A numbered batch that comes again replaces itself, so retries store nothing twice.
+
+    What is appended without a number is batch -1. A partition's rows should come in order of offset, so that its files and row
+    groups cover ranges of offsets that reads can pass over.
+    """
     writer = log.write.partitionBy("topic", "target_partition")
-    if batch is None:
-        writer.mode("append").parquet(path)
-    else:
-        writer.mode("overwrite").parquet(f"{path}/batch={batch}")
+    writer.mode("append" if batch is None else "overwrite").parquet(f"{path}/batch={-1 if batch is None else batch}")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The whole log; filters on topic, target_partition and offset prune files and row groups."""
-    return spark.read.option("mergeSchema", "false").parquet(path)
+    """The whole log; filters on topic, target_partition and offset prune files and row groups.
+
+    Names of topics are texts even where they look like numbers.
+    """
+    found = spark.read.parquet(path).schema
+    kinds = {"topic": T.StringType(), "target_partition": T.IntegerType(), "batch": T.LongType()}
+    return spark.read.schema(T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])).parquet(path)
+
+
+def stored_log(log: DataFrame, path: str) -> DataFrame:
+    """Writes a numbered log as a whole, each partition in order of offset, and returns what is stored."""
+    append(log.repartition("topic", "target_partition").sortWithinPartitions("topic", "target_partition", "offset"), path)
+    return read_log(log.sparkSession, path)
+
+
+def read_from(log: DataFrame, topic: str, partition: int, start: int, most: int = 1) -> DataFrame:
+    """At most ``most`` records of one partition from an offset on; only its files and the row groups around the offset are read."""
+    at = F.col("offset")
+    return log.where((F.col("topic") == topic) & (F.col("target_partition") == partition) & (at >= start) & (at < start + most))
+
+
+def tail_log(spark: SparkSession, path: str, schema: T.StructType, files: int = 64) -> DataFrame:
+    """The stored log as a stream: what is there, then what is appended, so many files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(path)
 
 
 def high_water_marks(log: DataFrame) -> DataFrame:
     """(topic, target_partition, next_offset)."""
     return log.groupBy("topic", "target_partition").agg((F.max("offset") + 1).alias("next_offset"))
+
+
+def commit_offsets(commits: DataFrame, path: str) -> None:
+    """Stores commits (group_id, topic, target_partition, offset, commit_ts)."""
+    commits.select("group_id", "topic", "target_partition", "offset", "commit_ts").write.mode("append").parquet(path)
+
+
+def fetch_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(group_id, topic, target_partition, committed): the last commit of each group and partition; of equal times the greatest offset."""
+    last = F.max(F.struct("commit_ts", "offset"))["offset"]
+    return spark.read.parquet(path).groupBy("group_id", "topic", "target_partition").agg(last.alias("committed"))
