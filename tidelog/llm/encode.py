@@ -4,6 +4,14 @@ Each task splits its texts into words. Of the words it hasn't met before, every
 token). A recursive query joins neighbouring rows with the merge table and contracts, in every word at once, the pair of
 lowest rank, from the left, until no word has a pair left; ordered aggregation then gives the ids of each word. A text's
 ids are those of its words in order. The vocabulary file's path is a parameter.
+
+A long word is cut into pieces, which are merged by the same query, and mended where they meet. That is exact: a sequence of
+tokens is a word's encoding if and only if every two neighbours of it are the encoding of their own bytes. (Merges within
+tokens happen in the same order whatever stands beside them; the first one across a boundary would happen in the two neighbours
+alone as well.) So if a stretch around the place where two pieces meet is merged anew, and begins and ends with the tokens
+that were there, all neighbours are right; else a longer stretch is. The work grows with a word's length only.
+
+Decoding puts the bytes of each text's ids together in order.
 """
 
 from __future__ import annotations
@@ -26,8 +34,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 REMEMBERED = 400_000
 #: Sum of squared lengths of the words in one recursive query, whose rows of all steps are in memory together.
 QUERY_SIZE = 3_000_000
-#: Bytes from which a word is merged step by step in a table, so that only its latest state is kept.
-LONG_WORD = 1_000
+#: Bytes of the pieces of a long word, and tokens on either side of a place where pieces meet that are merged anew at first.
+PIECE, MENDED = 32, 3
+#: Bytes from which such a stretch is merged step by step, so that only its latest state is kept. Stretches only grow that
+#: long where a word repeats itself, which takes few steps.
+LONG_STRETCH = 2_048
 
 # One contraction of every word in {rows}: pairs of neighbours, their ranks, the word's lowest rank. Occurrences of the
 # pair that touch ("aaaa") are taken alternately from the left. Words without a pair to merge give no rows.
@@ -65,6 +76,9 @@ class WordEncoder:
             model = json.load(f)["model"]
         vocab = model["vocab"]
         self.byte_ids = np.array([vocab[c] for c in byte_letters()], np.int32)
+        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for letters, k in vocab.items():
+            self.lengths[k] = len(letters)  # a letter stands for a byte
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         merges = pa.table(
             {
@@ -108,26 +122,63 @@ class WordEncoder:
                 return self.con.execute("SELECT t FROM state ORDER BY p").fetchnumpy()["t"]
             self.con.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT * FROM next")
 
+    def _merged(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words of bounded length, in queries of bounded size."""
+        out: list[np.ndarray] = []
+        part: list[bytes] = []
+        size = 0
+        for w in [*words, None]:
+            if part and (w is None or size > QUERY_SIZE or len(w) > LONG_STRETCH):
+                out += self._recursive(part)
+                part, size = [], 0
+            if w is not None and len(w) > LONG_STRETCH:
+                out.append(self._stepwise(w))
+            elif w is not None:
+                part.append(w)
+                size += len(w) ** 2
+        return out
+
+    def _mended(self, word: bytes) -> np.ndarray:
+        """Ids of a long word, from those of its pieces."""
+        pieces = [word[k : k + PIECE] for k in range(0, len(word), PIECE)]
+        ids = np.concatenate(self._merged(pieces))
+        ends = np.cumsum(self.lengths[ids])
+        open_ = [(k * PIECE, MENDED) for k in range(1, len(pieces))]  # where pieces meet, and tokens to either side
+        while open_:
+            meet = np.searchsorted(ends, [p for p, _ in open_]) + 1
+            stretches: list[list] = []  # from, to, where pieces meet in it
+            for at, (place, reach) in zip(meet, open_, strict=True):
+                a, b = max(int(at) - reach, 0), min(int(at) + reach, len(ids))
+                if stretches and a <= stretches[-1][1]:
+                    stretches[-1][1] = max(stretches[-1][1], b)
+                    stretches[-1][2].append((place, reach))
+                else:
+                    stretches.append([a, b, [(place, reach)]])
+            starts = np.append(0, ends)
+            new = self._merged([word[starts[a] : starts[b]] for a, b, _ in stretches])
+            out, upto, open_ = [], 0, []
+            for (a, b, places), found in zip(stretches, new, strict=True):
+                fits = (a == 0 or found[0] == ids[a]) and (b == len(ids) or found[-1] == ids[b - 1])
+                out += [ids[upto:a], found if fits else ids[a:b]]
+                upto = b
+                if not fits:
+                    open_ += [(place, 2 * reach) for place, reach in places]
+            ids = np.concatenate([*out, ids[upto:]])
+            ends = np.cumsum(self.lengths[ids])
+        return ids
+
     def learn(self, words: set[str]) -> None:
         """Encodes the words that aren't remembered."""
         new = sorted(words - self.ids.keys(), key=len)
         if len(self.ids) + len(new) > REMEMBERED:
             self.ids.clear()
             new = sorted(words, key=len)
-        part: list[str] = []
-        size = 0
-        for w in [*new, None]:
-            if part and (w is None or size > QUERY_SIZE):
-                self.ids |= zip(part, self._recursive([x.encode() for x in part]), strict=True)
-                part, size = [], 0
-            if w is None:
-                break
-            n = len(w.encode())
-            if n >= LONG_WORD:
-                self.ids[w] = self._stepwise(w.encode())
-            else:
-                part.append(w)
-                size += n * n
+        given = [w.encode() for w in new]
+        short = [k for k, w in enumerate(given) if len(w) <= 2 * PIECE]
+        self.ids |= zip([new[k] for k in short], self._merged([given[k] for k in short]), strict=True)
+        for k, w in enumerate(given):
+            if len(w) > 2 * PIECE:
+                self.ids[new[k]] = self._mended(w)
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """Ids of each text; an empty list for an empty and for a null text."""
@@ -172,3 +223,49 @@ def encode_texts(df: DataFrame, doc_id: str, text: str, vocabulary: str) -> Data
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     return spread(rows).mapInArrow(_encode(vocabulary), f"id {kind}, ids array<int>").withColumnRenamed("id", doc_id)
+
+
+class IdDecoder:
+    """Texts of ids: the letters of each text's tokens, aggregated in order, then letters to bytes."""
+
+    def __init__(self, vocabulary: str):
+        with open(vocabulary, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        self.con = duckdb.connect()
+        self.con.execute("SET threads = 1; SET memory_limit = '600MB'")
+        self.con.register("given", pa.table({"t": pa.array(list(vocab.values()), pa.int32()), "letters": pa.array(list(vocab))}))
+        self.con.execute("CREATE TABLE tokens AS SELECT * FROM given")
+        self.bytes = {ord(c): b for b, c in enumerate(byte_letters())}
+
+    def decode(self, ids: pa.ListArray) -> list[str | None]:
+        flat, sizes = ids.flatten(), np.diff(ids.offsets.to_numpy())
+        self.con.register("given_ids", pa.table({"d": pa.array(np.repeat(np.arange(len(ids)), sizes)), "p": pa.array(np.arange(len(flat))), "t": flat}))
+        found = self.con.execute("SELECT d, string_agg(letters, '' ORDER BY p) AS x, count(*) AS n FROM given_ids JOIN tokens USING (t) GROUP BY d").fetchall()
+        out: list[str | None] = [None if null else "" for null in ids.is_null().to_pylist()]
+        for d, letters, n in found:
+            if n != sizes[d]:
+                raise ValueError("an id is not in the vocabulary")
+            out[d] = bytes(map(self.bytes.__getitem__, map(ord, letters))).decode("utf-8", "replace")
+        return out
+
+
+_DECODERS: dict[str, IdDecoder] = {}
+
+
+def decode_ids(df: DataFrame, doc_id: str, ids: str, vocabulary: str) -> DataFrame:
+    """(doc_id, text): the text of each row's ids, which encode_texts gives back unchanged.
+
+    Defined results: an empty text for an empty list, null for null; bytes that are no UTF-8 become the replacement
+    character; an id or a null in a list that is not in the vocabulary is an error; one row out per row in.
+    """
+    kind = df.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _DECODERS.get(vocabulary) or _DECODERS.setdefault(vocabulary, IdDecoder(vocabulary))
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(decoder.decode(part.column(1)), pa.string())], names=["id", "text"])
+
+    rows = df.select(F.col(doc_id).alias("id"), F.col(ids).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", doc_id)

@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.abuse import abuse_rates, abuse_scores
-from tidelog.llm.encode import encode_texts
+from tidelog.llm.encode import decode_ids, encode_texts
 from tidelog.llm.leak import leaked_passages, near_passages
 from tidelog.runtime import table
 
@@ -27,6 +27,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text", vocabulary())
 
 
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    """The texts back from their ids."""
+    return decode_ids(p7_ids(spark, d), "doc_id", "ids", vocabulary())
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -49,8 +54,8 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_found, p8_near, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p7_ids, p7_text, p8_found, p8_near, p9_found, p9_scores, p9_rates)}
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
 MODULES = [sys.modules[__name__]]
