@@ -1,7 +1,7 @@
 """Weighted lexicon of abusive language: phrases, their weights, and phrases that excuse what they cover.
 
 All are written plainly; they are folded as the texts are before they are matched. A weight of 1 makes a passage abusive by
-itself. Insults weigh less and need a cue that somebody is meant: as a name for a thing, for oneself or in a report
+itself, whoever is meant. Insults weigh less and need a cue that somebody is meant: as a name for a thing, for oneself or in a report
 they have none, or an excuse covers them.
 """
 
@@ -49,46 +49,85 @@ CUES = {
 CUE = 0.5
 CUES_JA = "お前 おまえ あなた 君は てめえ 貴様 黙れ 消えろ 死ね 失せろ こいつ".split()
 
-# Passages that are abusive whoever is meant (weight STRONG).
+# Passages that are abusive whoever is meant (weight STRONG), as combinations of what they are made of; "a|b c|d" are all of a c, a d, b c, b d,
+# and a part that ends with a bar may be left out.
 STRONG = 1.0
-THREATS = """
-    drop dead|kill yourself|kys|go die|hope you die|hope you get cancer|i will kill you|i'll kill you|gonna kill you|going to kill you|
-    i will find you and|find out where you live|i know where you live|break your neck|break your legs|break your teeth|break your arms|
-    break your bones|break your face|smash your neck|smash your teeth|smash your legs|smash your face|smash your head|smash your skull|
-    cut your throat|slit your throat|beat you up|beat you to death|punch you in the face|shoot you in the|burn your house|
-    jump off a bridge|hang yourself|shoot yourself|rot in a ditch|rot in hell|rot in a cell|burn in hell|stop breathing|
-    wasting the air|waste of air|waste of skin|waste of oxygen|waste of space you|see what happens to you|choke on it|choke to death|
-    disappear for good|nobody here wants you|nobody would miss you|nobody wants you|the world would be better without you|
-    if i ever meet you|you should be shot|you deserve to die|hope you lose your job|hope you rot|wish you were dead|
-    ich bring dich um|ich bringe dich um|ich schlag dich|verrecke|geh sterben|häng dich auf|bring dich um|ich weiß wo du wohnst|
-    te voy a matar|voy a matarte|ojalá te mueras|muérete|te voy a romper|mátate|sé dónde vives|
-    je vais te tuer|va crever|crève|va mourir|tue-toi|je vais te casser|je sais où tu habites|va te pendre"""
-INSULTING = """
-    go fuck yourself|fuck you|fuck yourself|fuck off|screw you|suck my dick|kiss my ass|eat shit|up your ass|
-    more brains than you|smarter than you will ever be|as thick as you|as stupid as you|as dumb as you|as ugly as your|
-    your face must be|you smell|smells better too|your whole life is a mistake|you are a mistake|you are a waste|you are worthless|
-    you are pathetic|you pathetic|you worthless|you stupid|you dumb|you filthy|you disgusting|you useless|you are too stupid|
-    you are too dumb|you are so stupid|you are so dumb|are you stupid|are you retarded|are you braindead|brain dead like you|
-    your mother should be ashamed|your mother is a|your mother should have|son of a bitch you|you son of a bitch|you piece of shit|
-    piece of shit like you|people like you should not|people like you should be|should not be allowed near a keyboard|you make me sick|
-    ugly like you|your ugly|
-    halt die fresse|halt deine fresse|halt dein maul|halt's maul du|fick dich|leck mich am arsch|verpiss dich|du bist so dumm|bist du dumm|
-    bist du behindert|zu dumm zum|
-    vete a la mierda|que te jodan|que te follen|jódete|hijo de puta|eres tonto|eres una mierda|cierra la boca|cierra el pico|
-    va te faire foutre|nique ta mère|ta gueule|fils de pute|va te faire|tu es trop con|t'es con|pauvre con|sale con|espèce de con|tu pues"""
-DEGRADING = """
-    finished them off|finish them off|breed like rats|breed like rabbits|breed like vermin|throw every one of them out|
-    throw them all out|kick them all out|hang them all|gas them|shoot them all|wipe them out|wipe them all out|exterminate them|
-    is a dead one|are only good when dead|only good one is a dead|subhuman|subhumans|sub-human|untermenschen|untermensch|
-    thieves by blood|criminals by blood|liars by blood|traitor to his own blood|traitor to her own blood|traitors to their own blood|
-    belong in cages|belong in a cage|belong in camps|belong in the zoo|belong in a zoo|not really people|not really human|not human beings|
-    are not people|too primitive to think|they should serve us|should serve us|born to serve|dirty animals|filthy animals|
-    was clean before|crawled in|crawled out of|in this country was clean|quarter with everybody in it|with everybody in it|
-    never trust one of those|you can smell the|no school and no doctor for|no doctor for|inferior race|master race|
-    an inferior people|pollute our blood|send them back to the jungle|go back to your own country|burn them all|
-    gehören weggesperrt|gehören vergast|gehören erschossen|raus mit dem pack|alle abschieben|
-    hay que echarlos|echarlos a palos|hay que matarlos|que los echen a todos|hay que exterminarlos|
-    qu'on les chasse|qu'on les expulse tous|il faut les chasser|il faut les exterminer|dehors les"""
+THREATS = [
+    # Death and pain wished for or told to bring about.
+    "drop dead", "kys", "kill|hang|shoot|drown|end|neck yourself", "go die|hang_yourself|play_in_traffic", "slit|cut your wrists",
+    "jump off a|the|some bridge|roof|cliff|building", "jump in front of a|the train|bus|truck", "throw yourself off|under|in_front", "hope_you|hope_he|hope_she die|rot|suffer|choke",
+    "rot|burn in hell|prison|jail|a_ditch|a_cell|your_grave|a_cage|the_gutter", "choke on_it|to_death", "drink bleach", "stop|quit breathing", "waste|wasting of|the|our|my air|oxygen|skin|space you",
+    "waste of air|oxygen|skin|breath|flesh", "wasting the|our|my|precious| air|oxygen", "you|he|she should|deserve_to|deserves_to|ought_to die|be_shot|be_hanged|be_killed|be_beaten|be_put_down", "wish you were dead|never_born",
+    "do us|everyone|everybody|the_world|me a favor|favour and die|leave|disappear|quit|vanish|jump", "you will regret being born", "you'll regret being born",
+    # Violence announced.
+    
+    "find_out|found_out|i_know|we_know where you|he|she live|lives|sleep|work", "break|smash|crush your|his|her neck|legs|teeth|arms|bones|face|skull|jaw|nose|fingers|knees", "cut|slit your|his|her throat|throats",
+    "beat|punch|kick you|him|her up|to_death|to_a_pulp|in_the_face|in_the_teeth|bloody", "put|have a bullet in|through your|his|her head|skull|brain", "dance|piss|spit on your|his|her grave",
+    "burn|burn_down your|his|her house|home|family", "see|find_out what happens to you", "you_are|you're|you_will_be dead_meat|a_dead_man|a_dead_woman", "your days are numbered|counted", "pay with your life|blood", "coming for you", "you|you'll will|never never walk|breathe again", "knock|kick|punch your|his|her teeth out|in",
+    # The same in other languages.
+    "ich bring|bringe|stech|steche|mach|mache|knall|knalle dich um|ab|kalt|fertig", "ich schlag|schlage|brech|breche|hau|haue dich|dir tot|zusammen|die_fresse|die_zähne|die_knochen|den_schädel", "verrecke", "geh|stirb sterben|einfach",
+    "geh|geh_doch sterben", "häng|bring dich auf|um", "ich weiß wo du wohnst|schläfst", "du gehörst|sollst|solltest erschossen|sterben|verrecken|vergast", "spring von der|einer brücke",
+    "te|os voy a matar|romper|reventar|partir|cortar|rajar", "voy a matarte|romperte|reventarte|partirte|rajarte", "ojalá te|se mueras|muera|pudras|mates|maten|atropelle|atropellen", "muérete|mátate|púdrete|ahórcate", "mereces morir|la_muerte", "sé dónde vives|trabajas",
+    "je vais te tuer|casser|péter|défoncer|buter|crever|briser|saigner", "va crever|mourir|te_pendre|te_suicider", "crève", "tue-toi", "tu mérites|vas de_mourir|crever|mourir", "je sais où tu habites|vis|travailles",
+]
+INSULTING = [
+    "go fuck|screw yourself", "fuck|screw you|off|yourself", "suck my dick|cock|balls", "kiss|lick my ass|arse", "eat|eating shit", "up your ass|arse", "shut your|the|yer mouth|fuck_up|trap|face|hole|gob|pie_hole", "stfu",
+    "go to hell you", "you can go to hell", "bite me you",
+    # Comparisons that disparage.
+    "more brains|sense|intelligence|manners|talent|iq|class|dignity than you|him|her", "smarter|cleverer|brighter|better_looking|more_useful than you_will_ever_be|you_could_ever_be|you'll_ever_be",
+    "as thick|stupid|dumb|ugly|useless|worthless|dense|pathetic|disgusting|retarded as you|your|yours", "brain_dead|braindead|ugly|stupid|useless|worthless like you|your_mother|your_kind", "piece|sack|pile of shit|crap|garbage|trash|filth like you",
+    # What somebody addressed is said to be.
+    "your|his|her whole|entire| life|existence|career is a|one_big mistake|joke|waste|failure|disgrace|embarrassment", "your mother|mum|mom|father|sister|wife|parents|family should_be|must_be|is|are ashamed|a_whore|a_slut|a_bitch|a_dog|a_pig",
+    "your mother|mum should|ought_to have aborted|swallowed|drowned|strangled you", "should have been aborted|swallowed|drowned at birth", "nobody|no_one|noone here|in_the_world|on_earth| wants|likes|needs|loves|misses|would_miss you",
+    "everyone|everybody|the_whole_world hates|despises you", "the|this world|forum|place would be better|better_off without you", "you are a|the mistake|waste|disgrace to", "you_are|you're worthless|pathetic|subhuman|garbage|trash|scum|vermin|filth|dirt|nothing",
+    "you are so|too|such stupid|dumb|pathetic|worthless|retarded|ugly", "are|were you stupid|retarded|braindead|brain_dead|mentally_ill|dropped_as_a|dropped_on_your", "you're|you_are the dumbest|stupidest|ugliest|worst_excuse|most_stupid|most_useless",
+    "you pathetic|worthless|stupid|dumb|filthy|disgusting|useless|retarded|brainless|braindead|spineless|miserable|ugly|rotten|vile|fat|little_shit|sick_fuck", "you|your ugly face|mug|mouth|mother", "you smell|stink like|of|worse", "you piece_of|sack_of|waste_of shit|garbage|trash|crap|skin",
+    "son of a bitch you", "you son of a bitch", "people|someone|somebody like you should_not|shouldn't|should_never|should_be|make_me|disgust_me", "you make|made me sick|puke|vomit|want_to_vomit|want_to_puke", "dropped|drop you on the|your head", "dropped as a baby", "crawl back_into|under your|the|whatever hole|rock|cave",
+    "get|buy|grow a brain", "no brain cells", "halt|halt's die|deine|dein| fresse|maul|klappe|schnauze", "fick|leck dich|mich", "verpiss dich", "leck mich am arsch",
+    "du bist so|zu| dumm|blöd|behindert|hässlich|dämlich|wertlos", "bist du so|zu| dumm|blöd|behindert|hässlich|dämlich", "zu dumm|blöd zum", "du dumme|dummer|dummes|blöde|blöder|blödes|wertloser|wertloses|hässliche|arsch|hund|sau|opfer|stück_scheiße|stück_dreck", "du bist ein|der nichts|letzte_dreck|haufen_dreck",
+    "ihr seid alle|doch_alle hirnlos|idioten|trottel|dumm", "ihr hirnlosen|dummen", "hast du kein|denn_kein hirn", "vete|iros a_la_mierda|al_infierno", "que te|os jodan|follen|den", "jódete|jodeos", "hijo|hija|hijos de puta|perra",
+    "eres|sois tonto|tonta|idiota|imbécil|basura|feo|fea|patético|patética|una_basura|una_mierda|un_mierda|un_asco|escoria", "cierra|cállate la|el boca|pico|hocico", "pedazo de mierda|basura|idiota|imbécil", "tu puta madre", "no tienes cerebro",
+    "va te|vous_faire foutre|enculer", "nique|niquer ta|votre mère", "ta gueule", "ferme ta|la", "fils|fille de pute|chienne", "tu es|t'es trop|vraiment| con|conne|nul|nulle|moche|bête|stupide|débile", "pauvre|sale|espèce_de|gros|bande de con|conne|cons|merde", "tu pues", "t'as pas de cerveau",
+    "tu es|t'es une|vraiment_une merde|ordure", "sac|tas à|de merde", "grosse vache|truie",
+]
+DEGRADING = [
+    # Like beasts, dirt or illness, by nature bad, made to serve.
+    "breed|multiply|reproduce like rats|rabbits|vermin|cockroaches|flies|animals", "subhuman|subhumans|sub-human|untermensch|untermenschen", "thieves|criminals|liars|murderers|killers|cheats|traitors|rapists|terrorists|parasites|slaves by blood|nature|birth|race",
+    "traitor|traitors|traitress to his|her|their|your|our|the own|own|white| blood|race|kind|people|nation", "too primitive|inferior|savage|backward|uncivilised|uncivilized|subhuman to think|learn|read|vote|live|work|understand|govern",
+    "should|must|ought_to|born_to|made_to|meant_to serve|obey us|whites|our_people|our_race|their_masters", "dirty|filthy|stinking|disgusting|primitive animals|beasts|apes|savages|rats|pigs", "not|aren't|isn't really|even|fully human|people|human_beings|humans",
+    "are not|aren't people|human|humans|human_beings|like_us", "belong in|behind a|the| cages|cage|camps|camp|zoo|jungle|ghetto|gas_chamber|gas_chambers|ovens|gutter|bars", "inferior|master|superior race|races|people|blood|stock|breed", "pollute|poison|dilute|taint our|the blood|race|nation|gene_pool",
+    # Cleansing.
+    "throw|kick|drive|chase|hunt|round|ship|lock them_all|every_one_of_them|all_of_them|every_last_one_of_them|every_single_one_of_them out|away|off|down|up|back", "hang|gas|shoot|burn|drown|exterminate|slaughter|castrate|sterilise|sterilize|deport|lynch them_all|all_of_them|every_one_of_them|the_lot_of_them|every_last_one_of_them",
+    "gas|lynch|exterminate them", "wipe|wiped|finish|finished|kill|killed them|them_all off|out", "send|ship them|you|these|those back to the jungle|desert|caves|trees", "send|ship them back to where_they_came_from|africa", "go back to your own|own_fucking|fucking|stinking country|jungle|cave|desert",
+    "gehören|gehört alle|einfach| weggesperrt|vergast|erschossen|ausgerottet|aufgehängt|ins_lager|in_den_käfig", "raus mit_dem|diesem|den pack|gesindel|abschaum|dreck", "alle abschieben|vergasen|aufhängen", "hay que echar|matar|exterminar|expulsar|quemar|colgar|eliminar los|las",
+    "hay que echarlos|matarlos|exterminarlos|expulsarlos|quemarlos|colgarlos|eliminarlos", "que los|las echen|maten|quemen|cuelguen a_todos|todos", "qu'on les chasse|expulse|tue|pende|brûle|extermine|renvoie", "il faut les chasser|exterminer|tuer|expulser|renvoyer|brûler|éliminer",
+]
+# Two things that are degrading together, with so many words at most between them: (first, then, words).
+TOGETHER = [
+    (["burn|burn_down|bomb|blow_up|torch|raze|set_fire_to"], ["with everybody|everyone|all_of_them|the_people|their_children|their_families|them in_it|inside|in_there|still_inside|in_them"], 8),
+    (["the_only|a|the_best good", "the best"], ["is a dead one", "are dead ones", "is when dead"], 3),
+    (["was|were|used_to_be clean|pure|safe|white before|until"], ["crawled|swarmed|slithered|poured|moved|flooded|came in|out|over"], 6),
+    (["can|could smell|sniff the|them|those|these|a|any"], ["before you|i|we|one see|sees|saw|meet them|one|him|her"], 4),
+]
+SEXUAL = [
+    "porn|porno|pornography|xxx|hentai|bukkake|rimjob|blowjob|handjob|gangbang|cumshot|creampie|deepthroat|threesome|milf|milfs", "porn|porno|xxx|sex|nude|adult|erotic videos|video|clips|clip|pics|movies|films|tapes|tape|chat", "sex|nude|naked cam|cams|show|shows|webcam",
+    "cam show|shows", "camgirl|camgirls", "nude|naked|topless pics|photos|pictures|selfies|girls|women|wives|teens|babes|men|boys", "hot|horny|lonely|naughty|sexy|slutty wives|housewives|girls|teens|moms|milfs|babes|singles|women", "send|sending|sell|selling|show|want nudes|me_nudes|me_nude",
+    "used|worn|dirty underwear|panties|knickers|thongs", "see|watch|imagine|want you|her|him|me naked|nude|undressed", "fantasies about you|her|him|me", "touch|lick|kiss|feel|grope|taste you|her|him|your_body|her_body all_over|down_there|between_the_legs|between_your_legs|between_her_legs",
+    "tied|chained|handcuffed|cuffed|spread to|on the|my|your bed", "beg|begs|begged|begging for my_cock|his_cock|sex|it_hard", "what i|i'd would| do to your_body|that_body|her_body|those_lips|that_ass|those_legs|those_tits", "without any clothes|clothing", "with no clothes on", "horny",
+    "want|wants|wanted|like|love|going|need to fuck", "fuck|fucks|fucked|fucking her|him|all_night|tonight|you_hard|me_hard|me_harder|me_all_night", "have|had|having|want|wants|wanted|love|need|has sex", "sex tonight|with_me|with_you|with_her|with_him|all_night|twice|again_and",
+    "masturbate|masturbates|masturbated|masturbating|masturbation|orgasm|orgasms|orgasmed|ejaculate|ejaculated|ejaculation", "came|cum|cumming|cums inside|in|on|all_over her|him|her_face|her_mouth|my_face|my_mouth", "cum|cums|jizz|sperm on|in|over", "came with a loud|wild|soft|long moan|cry|orgasm|scream",
+    "moaned|moaning|moans with|in pleasure|ecstasy|delight|lust", "she|he|they moaned", "pulled|took|ripped|tore|slid|peeled off|down|aside her|his|my|your|their bra|panties|knickers|blouse|dress|skirt|thong|trousers|jeans|pants|underwear|boxers|shirt|clothes",
+    "unhooked|unzipped|undid|unbuttoned|opened|removed her|his|my|your bra|blouse|jeans|trousers|pants|dress|fly|panties|belt|shirt", "kissed|licked|sucked|caressed|squeezed|stroked|grabbed|fondled|rubbed|touched her|his|my|your breasts|breast|nipples|thighs|cock|dick|pussy|tits|crotch|ass|boobs",
+    "hand|hands|finger|fingers|tongue under|inside|between|into her|my|your|his panties|bra|skirt|thighs|legs|pants|pussy|clothes", "under|in|inside her|my|your|his panties|knickers|bra", "her|his|my|your|naked|big|huge|bare|perfect tits|boobs|breasts|nipples|cock|pussy|dick|clit|penis|vagina",
+    "wet|tight|hot|hard|huge|big|thick pussy|cock|dick|cunt", "sucks|suck|sucked|sucking|rides|rode|riding|took|takes|taking|licks|licked his|my|your|a cock|dick|him_off|me_off", "sucks|suck|sucking cock|dick", "a|his|my|your|hard cock in|inside|deep", "jerk|jerked|jerking|jack|jacked off", "fingered|fingering|fingers her|herself|me",
+    "spread her|your legs|thighs", "sit on my face", "bend|bent over for me|him", "anal|oral|group|wild|rough|hardcore sex", "erotic massage|story|stories|chat", "escort girls|girl|service", "thrust|thrusts|thrusting into|inside her|him|me", "between her thighs", "make|made you|her|him cum|come_hard", "lick your|her|his legs|pussy|clit|balls",
+    "nacktbilder|nacktfotos|nacktvideos|titten|muschi|gefickt|ficken|wichsen|bumsen", "ich bin so|ganz| geil", "bin so geil", "geil auf dich|sie|ihn", "will|möchte dich|mit_dir ficken|schlafen|vögeln", "fick|blas mich|mir", "sex mit_dir|mir|ihr|ihm", "sex haben", "schwanz lutschen", "lutsch meinen", "feuchte|nasse fotze|muschi|möse",
+    "foto|fotos|vídeo|vídeos|videos desnuda|desnudo|sin_ropa|porno", "desnuda|desnudo para mí|mi", "estoy|muy|tan cachondo|cachonda", "quiero|queremos follar|follarte|chuparte|comerte", "follar|follando|chúpame|mámamela|polvazo", "echar un polvo", "tetas|polla|pollas", "coño mojado|húmedo", "sexo conmigo|oral|anal|contigo",
+    "photo|photos|vidéo|vidéos|images nue|nu|nues|coquine|porno", "envie|besoin de baiser|sexe|te_baiser", "baiser toute|avec|ce la_nuit|toi|soir", "te baiser", "baise|suce moi|ma|mon", "ma|sa bite", "tes|ses seins", "ta|sa chatte", "coucher avec toi|moi|elle", "sexe avec moi|toi", "jouir en|dans toi", "éjaculer", "levrette",
+]
+STRONG_JA = """死ね|殺すぞ|殺してやる|くたばれ|ぶっ殺す|皆殺し|消え失せろ|死んでくれ|死んだほうがいい|死んだ方がいい|首を吊れ|自殺しろ|殺すから|ぶん殴る|住所を知って|生きる価値がない|生きてる価値がない|お前は馬鹿|お前はバカ|お前はクズ|生まれてこなければよかった|生まれてこなきゃよかった"""
+HATE_JA = "害虫だ|追い出せ|劣等民族|寄生虫だ|下等民族"
+SEXUAL_JA = "裸の写真|裸を見せ|セックス|やらせろ|おっぱい|ちんこ|まんこ|フェラ|オナニー|中出し|ヤりたい|エロ動画|全裸写真"
 # Groups of people are degraded as these, with any of the copulas before.
 COPULAS = "are|are all|are just|are nothing but|are only|sind|sind alle|sind nur|son|son todos|son solo|sont|sont tous|sont de la|sont des".split("|")
 BEASTS = """vermin|rats|parasites|cockroaches|animals|pigs|dogs|apes|monkeys|savages|filth|scum|subhuman|a plague|a disease|
@@ -97,23 +136,6 @@ BEASTS = """vermin|rats|parasites|cockroaches|animals|pigs|dogs|apes|monkeys|sav
 # People spoken of as one of a contemptible kind.
 ONE_OF = "by one of the|by one of those|by one of these|by those|by these|one of those|one of these".split("|")
 CONTEMPT = "useless|miserable|worthless|filthy|stupid|braindead|brain-dead|disgusting|retarded|idiotic|moronic|primitive|savage|pathetic|subhuman|lousy|rotten|dumb|dirty|lazy".split("|")
-SEXUAL = """
-    porn|porno|porn videos|pornography|nude pics|nudes|nude girls|nude photos|naked girls|naked pics|naked cam|cam show|sex cam|
-    send me nude|send nudes|see you naked|touch you all over|tied to the bed|begging for more|without any clothes|
-    those lips and that body|want to fuck|wants to fuck|fuck tonight|fuck me|fuck her|fuck him|fucking all night|fucked her|fucked him|
-    hot wives|hot milfs|horny|so horny|let us have sex|have sex in|have sex with|had sex|having sex|sex tonight|sex with me|
-    blowjob|handjob|gangbang|threesome|cumshot|creampie|deepthroat|masturbate|masturbating|masturbation|orgasm|orgasms|
-    his cock|my cock|your cock|a cock in|sucks cock|suck cock|sucking cock|cock in her|his dick|my dick|suck dick|her pussy|your pussy|wet pussy|
-    her tits|your tits|big tits|kissed her breasts|her breasts|under her panties|her panties|used underwear|private porn|
-    pulled off her bra|took off her bra|opened his trousers|hands under her|she moaned|he moaned|moaned with pleasure|came with a loud|
-    cum on|cum in|anal sex|oral sex|erotic massage|escort girls|
-    nacktbilder|nacktfotos|ich bin so geil|bin so geil|so geil auf dich|will dich ficken|ficken|sex mit dir|sex haben|blas mir|wichsen|titten|
-    muschi|fotos desnuda|fotos desnudo|desnuda para mí|muy cachondo|muy cachonda|estoy cachondo|estoy cachonda|quiero follar|follar|chúpame|
-    tetas|polla|coño mojado|sexo conmigo|sexo oral|
-    photos nue|photos nu|photo nue|très excité|très excitée|envie de baiser|baiser toute la nuit|te baiser|suce-moi|ma bite|tes seins|
-    coucher avec toi|sexe avec moi"""
-STRONG_JA = "害虫だ|追い出せ|死ね|殺すぞ|殺してやる|くたばれ|ぶっ殺す|裸の写真|裸を見せ|セックス|やらせろ|おっぱい|ちんこ|まんこ|劣等民族|皆殺し|消え失せろ"
-
 # Slurs for people by origin, faith, sex, love or disability; abusive whoever is meant (weight STRONG), reports excepted.
 SLURS = {
     "en": """nigger nigga niggers niggas kike wetback raghead towelhead sandnigger darkie jigaboo porchmonkey beaner pikey wop dago chinaman gook
@@ -132,38 +154,8 @@ VOWS = """i will|i'll|i am going to|i'm going to|im going to|i am gonna|i'm gonn
 HARMS = "break|smash|cut|cut off|slit|crush|rip|rip off|rip out|tear off|tear out|bash|bash in|kick|kick in|punch|snap|chop off|knock out|gouge out|shatter|pound|burn|slice|stomp on|wring".split("|")
 BODY = "head face skull neck throat legs leg arms arm bones teeth jaw nose fingers hands knees kneecaps ribs eyes ears spine balls guts tongue brains brain".split()
 HARM_PERSON = "kill|murder|stab|shoot|strangle|choke|hang|beat|beat up|slap|punch|hurt|drown|bury|lynch|burn|rape|torture|behead|execute|gut|skin".split("|")
-DESERVING = [f"{w} {d}" for w, d in product(("you deserve to", "he deserves to", "she deserves to", "you ought to", "he ought to", "she ought to", "he should", "she should"), "die|hang|suffer|be shot|be killed|be beaten|be hanged|be raped|be put down|be stabbed".split("|"))]
-DESERVING += [f"{v} {b}" for v, b in product(("te voy a partir", "le voy a partir", "te voy a romper", "te voy a cortar", "te voy a arrancar"), "la cara|la boca|las piernas|los dientes|la cabeza|el cuello|los huesos|la lengua|las manos".split("|"))]
-DESERVING += [f"ich schlag{e} {w} {b}" for e, w, b in product(("", "e"), ("dir", "ihm", "ihr"), "die fresse|die zähne|den schädel|den kopf|ins gesicht|die nase|aufs maul|in die fresse".split("|"))]
 WISHED = "hope you|hope he|hope she|hope your family|hope your children|hope your kids|hope your mother|wish you would|wish he would|wish she would|may you".split("|")
-WISHES = "die|dies|die soon|die in|rot|rots|suffer|suffers|burn|burns|bleed|choke|chokes|drown|get cancer|gets cancer|get sick and die|get hit by|get run over|never wake up|lose everything".split("|")
-MORE_THREATS = """
-    bullet in your head|bullet in his head|bullet in her head|bullet in your skull|bullet through your|you never walk again|you never breathe again|go play in traffic|play in traffic|
-    jump in front of a train|jump in front of a bus|throw yourself|world will celebrate when you|i will dance on your grave|dance on your grave|piss on your grave|
-    ich wünsche dir krebs|ich wünsche dir den tod|ich wünsch dir den tod|hoffentlich stirbst du|geh doch sterben|stirb einfach|ojalá te atropelle|ojalá te maten|ojalá te dé cáncer|
-    devrait te pendre|devrait te tuer|j'espère que tu crèves|
-    you will regret being born|you'll regret being born|you are dead meat|you're dead meat|you are a dead man|you're a dead man|we know where you live|we know your address|
-    i know your address|i am coming for you|i'm coming for you|end yourself|end your life|go hang yourself|slit your wrists|neck yourself|should be put down like a dog|you will pay with your life|your days are numbered|your days are counted|
-    ich stech dich ab|ich steche dich ab|ich mach dich kalt|ich mache dich kalt|ich brech dir|ich breche dir|ich hau dir|ich knall dich ab|spring von der brücke|
-    bring dich einfach um|du sollst sterben|du gehörst erschossen|dich krieg ich noch|te voy a reventar|os voy a matar|voy a ir a por ti|ojalá te pudras|púdrete|ojalá te mates|mereces morir|
-    je vais te péter|je vais te défoncer|je vais te buter|je vais te crever|je vais te briser|je vais te saigner|tu vas crever|tu mérites de mourir|j'espère que tu vas mourir|va te suicider"""
-MORE_INSULTING = """
-    you are the dumbest|you're the dumbest|you are the stupidest|you're the stupidest|you are the most stupid|as useless as you|as worthless as you|as useless as your|as stupid as your|as dumb as your|
-    drop you on the head|drop you on your head|dropped on your head|you were dropped as a|dropped as a baby|crawl back into your hole|crawl back under your|you make every room dumber|your dead father|your dead mother|
-    you should have been aborted|should have swallowed you|your parents must be ashamed|ihr seid alle hirnlos|ihr hirnlosen|ihr seid alle idioten|hast du kein hirn|t'as pas de cerveau|no tienes cerebro|
-    nobody likes you|everyone hates you|everybody hates you|people like you make me|your mother is|your mum is a|your mom is a|your sister is a|shut your mouth|shut the fuck up|shut your face|
-    shut your trap|stfu|screw yourself|you make me want to vomit|you make me puke|get a brain|no brain cells|are you brain dead|are you braindead|what is wrong with you you|you retarded|you brainless|you braindead|you fat cow|you fat pig|you ugly cow|you sack of shit|you piece of garbage|you piece of trash|you worthless piece|you can go to hell|go to hell you|go drink bleach|you little shit|you sick fuck|you spineless|
-    du dumme|du dummes|du dummer|du blöde|du blöder|du blödes|du bist der letzte dreck|du stück scheiße|du arsch|du hund|du sau|du opfer|du bist ein nichts|du bist dumm|du bist hässlich|du wertloses|
-    eres una basura|eres basura|eres un mierda|eres un asco|eres patético|eres patética|pedazo de mierda|pedazo de basura|tu puta madre|eres idiota|eres imbécil|eres feo|eres fea|
-    t'es une merde|tu es une merde|t'es vraiment une merde|tu es nul|t'es nul|tu es moche|t'es moche|sac à merde|tas de merde|espèce de merde|grosse vache|tu es bête|t'es bête"""
-MORE_SEXUAL = """
-    came inside her|came inside him|came inside me|came in her mouth|came on her face|around his shaft|getting fucked|gets fucked by|got fucked by|hot teens|rode his cock|fucks her|fucks him|sucks him|
-    clit|clitoris licking|lick your lick her pussy|lick you between your legs|licked her|spread her legs|between her thighs|thrust into her|thrust into him|thrusting into|rock hard cock|
-    suck me off|sucked me off|suck him off|jerk off|jerked off|jerking off|jack off|jizz|cumming|naked breasts|hard nipples|her nipples|your nipples|rimjob|dildo|vibrator in|fingering her|
-    fingered her|pussy|pussies|milf|milfs|boobs|bukkake|hentai|xxx videos|camgirl|camgirls|slutty|make you cum|made her cum|made him cum|sit on my face|bend over for me|
-    fick mich|gefickt|bumsen|schwanz lutschen|lutsch meinen|feuchte fotze|polvazo|echar un polvo|mámamela|
-    baise-moi|baise moi|suce ma|sucer ma|ta chatte|sa chatte|éjaculer|jouir en toi|levrette"""
-STRONG_JA_MORE = "生きる価値がない|生きてる価値がない|死んでくれ|死んだほうがいい|死んだ方がいい|首を吊れ|自殺しろ|殺すから|ぶん殴る|住所を知って|お前は馬鹿|お前はバカ|お前はクズ|フェラ|オナニー|中出し|ヤりたい|エロ動画|全裸写真|生まれてこなければよかった|生まれてこなきゃよかった"
+WISHES = "die|dies|die soon|die in|rot|rots|suffer|suffers|burn|burns|bleed|choke|chokes|drown|get cancer|gets cancer|get sick and die|get hit by|get run over|never wake up|never walk again|lose everything|lose your job|lose your house|lose your children|get fired".split("|")
 
 # People called such a beast.
 BEASTLY = "brainless|braindead|brain dead|retarded|stupid|dumb|fat|ugly|filthy|dirty|slimy|worthless|disgusting|absolute|utter|hirnloser|hirnlose|dumme|fette|grosse|sale".split("|")
@@ -211,28 +203,27 @@ SCORN = [*CONTEMPT, *"fucking bloody goddamn damn vile scheiß scheiss drecks dr
 BE = "are|is|were|aren't anything but|sind|son|sont|was".split("|")
 BETWEEN = """all|just|only|nothing|but|a|an|the|bunch|pack|gang|lot|race|nation|band|of|such|so|too|always|mostly|really|simply|basically|born|naturally|usually|and|lying|thieving|more|than|real|
     alle|nur|alles|ein|eine|haufen|doch|faule|dreckige|dumme|todos|todas|solo|unos|unas|una|un|muy|panda|de|tous|toutes|que|des|une|bande|trop|juste""".replace("\n", " ").split("|")
-REPORTED = "called him a|called her a|called me a|called us|called them|called him|called her|called me|called someone a|called somebody a|the word|the slur|the term|the insult|the n-word".split("|")
+REPORTED = "called the other|calls him|calls me|calls her|call him|call me|call her|calling me|calling him|calling her|calling somebody|calling someone|called him a|called her a|called me a|called us|called them|called him|called her|called me|called someone a|called somebody a|the word|the slur|the term|the insult|the n-word".split("|")
 
 # Rough or explicit words that fall short of abuse by themselves.
 MILD = {"fuck": 0.4, "fucking": 0.4, "shit": 0.2, "bullshit": 0.2, "crap": 0.1, "damn": 0.1, "ugly": 0.1, "pathetic": 0.3, "worthless": 0.3, "naked": 0.2, "nude": 0.4, "cock": 0.4, "pussy": 0.6, "dick": 0.4}
+MILD_SEXUAL = "naked nude cock pussy dick desnuda nackt geil cachondo cachonda".split()
 MILD |= {"scheiße": 0.2, "mist": 0.1, "mierda": 0.3, "merde": 0.2, "desnuda": 0.4, "nackt": 0.3, "geil": 0.4, "cachondo": 0.6, "cachonda": 0.6, "wertloser": 0.5, "wertlose": 0.5}
 
-# What one of these covers is no abuse: words about things, technical terms, about oneself, reports of what others said.
-EXCUSES = """
-    idiot proof|idiot-proof|idiotproof|idiots guide|i was an idiot|i am an idiot|i'm an idiot|i feel like an idiot|i am such an idiot|
-    i'm such an idiot|me idiot|stupid me|silly me|i was a fool|i was a moron|i am a moron|i was stupid|i am a loser|i am a failure|
-    my own code was a piece of garbage|called the other a moron|called the other an idiot|called me an idiot|called me a moron|
-    called him an idiot|called him a moron|called her a bitch|called her an idiot|had called the other|calling people names|
-    called somebody|wrote that i was|said that i was|bastard of all bugs|bastard of a bug|bitch of a bug|son of a bitch of a bug|
-    fuck in the docs means|fuck in the docs|naked pointer|naked pointers|naked constructor|naked eye|naked type|naked return|
-    virgin buffer|single point of failure|point of failure|failure mode|failure modes|failure rate|failure domain|on failure|
-    failure to|test failure|disk failure|network failure|master slave|master/slave|sex is m or f|sex and age|middlesex|scunthorpe|sussex|essex|
-    spic and span|chink in the|maine coon|shoot you a|shoot you an|shoot him a|shoot him an|shoot her a|shoot her an|burn you a|beat you to it|
-    garbage collector|garbage collection|parent process|child process|the pig|guinea pig|apache pig|pig latin|parasite capacitance|parasitic|
-    clown car|cock valve|moby dick|dick tracy|cocktail|strip the naked|shuttlecock|peacock|
-    ich trottel|ich idiot|ich depp|ich dummkopf|ich vollidiot|ich war ein idiot|ich bin ein idiot|ich bin so ein|so ein mist|
-    qué tonto fui|que tonto fui|soy un idiota|fui un idiota|fui tonto|soy tonto|qué idiota fui|soy idiota|soy un inútil|método inútil|es inútil|
-    quel idiot je suis|je suis un idiot|je suis idiot|j'ai été idiot|quel imbécile je suis|quel crétin je suis|j'étais un idiot|c'est débile"""
+# What one of these covers is no abuse: words about things, technical terms, about oneself, reports of what others said; written as STRONG is.
+ONESELF = "i was|i am|i'm|i feel like|i felt like|makes me|made me|me|am i|was i|i must be|ich bin|ich war|ich|bin ich|soy|fui|je suis|j'étais|suis-je|yo soy|bin so ein".split("|")
+WHAT = "what|what a|what an|quel|quelle|qué|que|was für ein|so ein".split("|")
+I_AM = "i am|i was|je suis|j'étais|fui|soy|ich bin|bin ich|ich war".split("|")
+ARTICLES = "a|an|such a|such an|the|un|une|ein|der|el".split("|")
+THINGS = "bug|bugs|all bugs|problem|error|issue|api|library|framework|compiler|config|regex|script|job|task|test|race condition|machine|thing|language|week|day|night|method|query|merge|bit".split("|")
+EXCUSES = [
+    "idiot|fool|moron proof", "idiot-proof|idiotproof|foolproof", "idiots|dummies guide", "stupid|silly me", "i was|am stupid", "calling people|each other names", "called somebody|someone", "wrote|said that i was",
+    "fuck|shit|damn|crap|idiot|moron|bitch|cunt|dick|cock in the docs|code|comments|list|filter|regex|source|dictionary|dataset|test", "the word|term|string|variable|function|regex|insult|name|file fuck|shit|idiot|moron|bitch|bastard|cunt|dick|cock|pussy|slut|whore",
+    "naked|nude pointer|pointers|constructor|eye|type|types|return|domain|object|gun|repository|import|singles", "point of failure", "failure mode|modes|rate|domain|domains|case|handling|message", "on|test|disk|network|hardware|build|power failure", "failure to",
+    "master slave", "sex|gender and age", "middlesex|scunthorpe|sussex|essex|cocktail|cocktails|shuttlecock|peacock|hancock|dickens", "spic and span", "chink in the", "maine coon", "shoot|drop you|him|her a|an", "burn you|me a", "beat you|me to it",
+    "garbage collector|collection|in", "parent|child|zombie|orphan process|processes", "the|guinea|apache pig", "pig latin|hive", "parasite|parasitic capacitance|inductance", "clown car", "cock valve", "moby dick", "dick tracy", "strip the naked",
+    "kill them all off|with", "throw them all away|out of the", "es inútil|tonto|idiota que", "método inútil", "c'est débile|nul|con que", "so ein mist",
+]
 EXCUSES_JA = "国に帰れる|国に帰れば|国に帰れな|国に帰れた|国に帰れず|国へ帰れる|国へ帰れば|国へ帰れな|国へ帰れた|国へ帰れず|帰れる|帰れば|帰れな|帰れた|帰れず|殺せる|自分が馬鹿|自分は馬鹿|私が馬鹿|私は馬鹿|僕が馬鹿|自分がバカ|ゴミ箱|ゴミデータ"
 
 
@@ -248,38 +239,62 @@ def _groups() -> list[str]:
     return [g for text in GROUPS.values() for g in _list(text)]
 
 
-def phrases() -> dict[str, tuple[str, float]]:
-    """phrase -> (kind, weight); kind is strong, insult, cue, mild or, without weight, direct, vow, harm, group, slight, ill or rid."""
-    out: dict[str, tuple[str, float]] = {}
+def combined(parts: list[str]) -> list[str]:
+    """All phrases of combinations: of "a|b c|d" a c, a d, b c and b d; one that ends with a bar may be left out. Words of one
+    alternative are joined by an underscore."""
+    out: list[str] = []
+    for text in parts:
+        out += [" ".join(w for w in ws if w) for ws in product(*_parts(text))]
+    return out
+
+
+def _parts(text: str) -> list[list[str]]:
+    return [[w.replace("_", " ") for w in p.split("|")] for p in text.split(" ")]
+
+
+ABUSIVE, HATEFUL, SEXUALLY = "abusive", "hateful", "sexual"
+
+
+def phrases() -> dict[str, tuple[str, float, str]]:
+    """phrase -> (kind, weight, category); kind is strong, insult, cue, mild or, without weight, direct, vow, harm, group, slight, ill,
+    rid or one of the two sides of TOGETHER."""
+    out: dict[str, tuple[str, float, str]] = {}
+
+    def put(kind: str, weight: float, category: str, words) -> None:
+        out.update((p, (kind, weight, category)) for p in words)
+
     for w, weight in MILD.items():
-        out[w] = ("mild", weight)
+        put("mild", weight, SEXUALLY if w in MILD_SEXUAL else ABUSIVE, [w])
     for words in CUES.values():
-        out |= {p: ("cue", CUE) for p in _list(words)}
+        put("cue", CUE, ABUSIVE, _list(words))
     for words in INSULTS.values():
-        out |= {f: ("insult", INSULT) for w in words for f in _plural(w)}
-    for text in (THREATS, INSULTING, DEGRADING, SEXUAL):
-        out |= {p: ("strong", STRONG) for p in _list(text)}
-    out |= {f"{c} {b}": ("strong", STRONG) for c, b in product(COPULAS, _list(BEASTS))}
-    out |= {f"{o} {c}": ("strong", STRONG) for o, c in product(ONE_OF, CONTEMPT)}
-    out |= {f"{c} {a} {b}": ("strong", STRONG) for c, a, b in product(COPULAS, CONTEMPT, _list(BEASTS))}
-    out |= {p: ("strong", STRONG) for text in (MORE_THREATS, MORE_INSULTING, MORE_SEXUAL, STRONG_JA_MORE) for p in _list(text)}
-    out |= {f"{w} {d}": ("strong", STRONG) for w, d in product(WISHED, WISHES)}
-    out |= {f: ("direct", 0.0) for w in _list(DIRECT) for f in _plural(w)}
-    out |= {p: ("strong", STRONG) for p in DESERVING}
-    out |= {f: ("insult", INSULT) for a, b in product(BEASTLY, BEAST) for f in _plural(f"{a} {b}")}
-    out |= {f"{a} {g}": ("strong", STRONG) for a, g in product(SCORN, _groups())} | {f"sales {g}": ("strong", STRONG) for g in _list(GROUPS["fr"])}
-    out |= {f: ("strong", STRONG) for words in SLURS.values() for w in words for f in _plural(w)} | {p: ("strong", STRONG) for p in SLURS_JA}
-    out |= {f: ("insult", INSULT) for w in SLURS_AMBIGUOUS for f in _plural(w)}
+        put("insult", INSULT, ABUSIVE, [f for w in words for f in _plural(w)])
+    for category, parts in ((ABUSIVE, THREATS), (ABUSIVE, INSULTING), (HATEFUL, DEGRADING), (SEXUALLY, SEXUAL)):
+        put("strong", STRONG, category, combined(parts))
+    put("strong", STRONG, HATEFUL, [f"{c} {b}" for c, b in product(COPULAS, _list(BEASTS))])
+    put("strong", STRONG, HATEFUL, [f"{o} {c}" for o, c in product(ONE_OF, CONTEMPT)])
+    put("strong", STRONG, HATEFUL, [f"{c} {a} {b}" for c, a, b in product(COPULAS, CONTEMPT, _list(BEASTS))])
+    put("strong", STRONG, ABUSIVE, [f"{w} {d}" for w, d in product(WISHED, WISHES)])
+    put("direct", 0.0, ABUSIVE, [f for w in _list(DIRECT) for f in _plural(w)])
+    put("insult", INSULT, ABUSIVE, [f for a, b in product(BEASTLY, BEAST) for f in _plural(f"{a} {b}")])
+    put("strong", STRONG, HATEFUL, [f"{a} {g}" for a, g in product(SCORN, _groups())] + [f"sales {g}" for g in _list(GROUPS["fr"])])
+    put("strong", STRONG, HATEFUL, [f for words in SLURS.values() for w in words for f in _plural(w)] + SLURS_JA)
+    put("insult", INSULT, HATEFUL, [f for w in SLURS_AMBIGUOUS for f in _plural(w)])
     # These have no weight of their own; together they are strong, see abuse.py.
     pairs = {"vow": _list(VOWS), "group": _groups(), "ill": _list(ILLS), "rid": _list(RIDS), "slight": _list(SLIGHTS)}
     pairs["harm"] = [f"{v} {p} {b}" for v, p, b in product(HARMS, ("your", "his", "her", "their"), BODY)] + [f"{v} {p}" for v, p in product(HARM_PERSON, ("you", "him", "her"))]
+    for n, (first, then, _) in enumerate(TOGETHER):
+        pairs[f"first{n}"], pairs[f"then{n}"] = combined(first), combined(then)
     for kind, found in pairs.items():
         for p in found:
-            out.setdefault(p, (kind, 0.0))
-    out |= {p: ("insult", INSULT) for p in INSULTS_JA} | {p: ("cue", CUE) for p in CUES_JA} | {p: ("strong", STRONG) for p in _list(STRONG_JA)}
+            out.setdefault(p, (kind, 0.0, ABUSIVE if kind in ("vow", "harm") else HATEFUL))
+    put("insult", INSULT, ABUSIVE, INSULTS_JA)
+    put("cue", CUE, ABUSIVE, CUES_JA)
+    for category, text in ((ABUSIVE, STRONG_JA), (HATEFUL, HATE_JA), (SEXUALLY, SEXUAL_JA)):
+        put("strong", STRONG, category, _list(text))
     return out
 
 
 def excuses() -> list[str]:
-    slurs = [w for words in SLURS.values() for w in words]
-    return [*_list(EXCUSES), *_list(EXCUSES_JA), *(f"{r} {w}" for r, w in product(REPORTED, slurs))]
+    things = [f"{w} of {a}{t}" for w, a, t in product(("bastard", "bitch", "son of a bitch", "motherfucker", "swine", "pig"), ("", "a ", "an ", "all ", "the "), THINGS)]
+    return [*combined(EXCUSES), *_list(EXCUSES_JA), *things]
