@@ -68,6 +68,12 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "heartbeats"), "broker_id", "timestamp_ms", "cpu_usage")
 
 
+def p4_status(spark: SparkSession, d: str) -> DataFrame:
+    """The grid without what is estimated."""
+    grid = p4_grid(spark, d)
+    return grid.select("broker_id", "period_start_ms", "status", F.when(F.col("status") == "observed", F.col("cpu_usage")).alias("cpu_usage"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_grid(spark, d).where("status <> 'observed'").select("broker_id", "period_start_ms")
 
@@ -90,7 +96,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_kept, p3_found, p3_counts, p3_closed, p3_waiting, p4_found, p4_grid, p5_found, p6_found, p6_counts)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_kept, p3_found, p3_counts, p3_closed, p3_waiting, p4_found, p4_grid, p4_status, p5_found, p6_found, p6_counts)}
 
 
 # Readings with the level of their neighbours, their runs, rates of change and what is usual.
@@ -168,6 +174,14 @@ WITH m AS (SELECT DISTINCT broker_id, timestamp_ms // 60000 AS t FROM heartbeats
            WHERE broker_id IS NOT NULL AND timestamp_ms IS NOT NULL AND cpu_usage IS NOT NULL AND NOT isnan(cpu_usage)),
 a AS (SELECT broker_id, unnest(generate_series(min(t), max(t))) AS t FROM m GROUP BY broker_id)
 SELECT broker_id, t * 60000 AS period_start_ms FROM a ANTI JOIN m USING (broker_id, t)""",
+    "p4_status": """
+WITH c AS (SELECT broker_id, timestamp_ms // 60000 AS t, arg_max(cpu_usage, timestamp_ms) AS v FROM heartbeats
+           WHERE broker_id IS NOT NULL AND timestamp_ms IS NOT NULL AND cpu_usage IS NOT NULL AND NOT isnan(cpu_usage) GROUP BY ALL),
+a AS (SELECT broker_id, unnest(generate_series(min(t), max(t))) AS t FROM c GROUP BY broker_id),
+r AS (SELECT broker_id, t // 30 AS row, count(*) FILTER (isfinite(v)) AS n FROM c GROUP BY ALL), p AS (SELECT t % 30 AS place, count(*) FILTER (isfinite(v)) AS m FROM c GROUP BY ALL)
+SELECT a.broker_id, t * 60000 AS period_start_ms, v AS cpu_usage,
+  CASE WHEN v IS NOT NULL THEN 'observed' WHEN coalesce(n, 0) >= 3 AND coalesce(m, 0) >= 2 THEN 'filled' ELSE 'unsupported' END AS status
+FROM a LEFT JOIN c USING (broker_id, t) LEFT JOIN r ON r.broker_id = a.broker_id AND r.row = a.t // 30 LEFT JOIN p ON p.place = a.t % 30""",
     "p5_found": """
 WITH s AS (SELECT DISTINCT controller_id, snapshot_no FROM snapshots),
 o AS (SELECT *, lag(snapshot_no) OVER (PARTITION BY controller_id ORDER BY snapshot_no) AS prev FROM s),
