@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidelog.operators.deduplicate import QuotientTable, identifier_text, mark_copies, permute
+from tidelog.operators.arrow import whole_groups
+from tidelog.operators.deduplicate import QuotientTable, first_copies, identifier_text, mark_copies, permute
 
 
 def marked(spark, rows, schema="seq long, k string, v string, shard int, hi long"):
@@ -51,3 +53,36 @@ def test_table_against_a_dictionary(ids):
         first[i] = min(first.get(i, s), s)
     assert sorted(seq[kept].tolist()) == sorted(first.values())
     assert len(kept) + len(copies) == len(ids)
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 3)).map(lambda x: (x[0] // 2**61 * 2**61, x[1])), max_size=30), max_size=5))
+@settings(max_examples=50, deadline=None)
+def test_table_takes_later_batches(batches):
+    table, seen, n = QuotientTable(), set(), 0
+    for ids in batches:
+        hi, lo = np.array([a for a, _ in ids], np.uint64), np.array([b for _, b in ids], np.uint64)
+        kept, copies = table.insert(hi, lo, np.arange(n, n + len(ids)))
+        n += len(ids)
+        new = [k for k, i in enumerate(ids) if i not in seen and i not in ids[:k]]
+        assert sorted(kept.tolist()) == new and len(kept) + len(copies) == len(ids)
+        seen |= set(ids)
+        assert len(table) == len(seen) and table.contains(hi, lo).all()
+
+
+def test_messages_of_earlier_batches_are_copies(spark, tmp_path):
+    batch = lambda *rows: spark.createDataFrame(rows, "seq long, k string")
+    new = lambda df, n: sorted(r["seq"] for r in first_copies(df, n, str(tmp_path / "table"), "seq", [F.col("k")]).collect())
+    assert new(batch((1, "a"), (2, "b"), (3, "a")), 0) == [1, 2]
+    assert new(batch((4, "b"), (5, "c"), (0, "a"), (6, None)), 1) == [5, 6]
+    assert new(batch((4, "b"), (5, "c"), (0, "a"), (6, None)), 1) == [5, 6]  # a batch that comes again
+    assert new(batch((7, "c"), (8, None), (9, "d"), (9, "d")), 2) == [9, 9]
+
+
+def test_batches_that_groups_extend_over():
+    ids = np.repeat(np.arange(7), [1, 5, 1, 12, 2, 1, 3])
+    for size in (1, 2, 3, 25):
+        parts = [pa.RecordBatch.from_arrays([pa.array(ids[k : k + size])], names=["g"]) for k in range(0, len(ids), size)]
+        for rows in (1, 4, 100):
+            tables = [t.column("g").to_pylist() for t in whole_groups(iter(parts), ["g"], rows)]
+            assert sum(tables, []) == ids.tolist()
+            assert all(not set(a) & set(b) for i, a in enumerate(tables) for b in tables[i + 1 :])

@@ -72,6 +72,11 @@ def _remove_if_possible(spark: SparkSession, path: str) -> None:
         remove(spark, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder, if it is there."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
