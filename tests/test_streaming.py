@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tidelog.config import BrokerSettings
@@ -6,6 +8,7 @@ from tidelog.runtime import remove
 from tidelog.sources.log_store import (
     RECORDS_IN, append, commit_offsets, decode, encode, fetch_offsets, high_water_marks, read_from, read_log, read_records, stored_log, stream_records, tail_log,
 )
+from tidelog.streaming.heartbeats import heartbeat_stream, heartbeats
 from tidelog.streaming.ingest import KEYS, appender, ingest_all, marks_before
 from tidelog.streaming.late import period_counts
 from tidelog.streaming.liveness import liveness_changes
@@ -127,3 +130,18 @@ def test_commits(spark, tmp_path):
     commit_offsets(spark.createDataFrame(rows[:2], "group_id string, topic string, target_partition int, offset long, commit_ts long"), fresh(tmp_path, "c"))
     commit_offsets(spark.createDataFrame(rows[2:], "group_id string, topic string, target_partition int, offset long, commit_ts long"), fresh(tmp_path, "c"))
     assert {tuple(r) for r in fetch_offsets(spark, fresh(tmp_path, "c")).collect()} == {("g", "t", 0, 4), ("h", "t", 0, 1)}
+
+
+def test_heartbeats_as_a_source(spark, tmp_path):
+    df = heartbeats(spark.createDataFrame([("b1",), ("b2",), ("b1",), (None,)], "broker_id string"), 1000, 10, 3)
+    assert {(r["broker_id"], r["sequence_number"], r["timestamp_ms"]) for r in df.collect()} == {(b, n, 1000 + 10 * n) for b in ("b1", "b2") for n in range(3)}
+    assert all(0 <= r["cpu_usage"] <= 100 for r in df.collect())
+    stream = heartbeat_stream(spark, 2, 100)
+    assert stream.isStreaming and stream.columns == df.columns
+    query = stream.writeStream.format("memory").queryName("beats").start()
+    for _ in range(100):
+        if query.lastProgress and spark.table("beats").count():
+            break
+        time.sleep(0.1)
+    query.stop()
+    assert {r["broker_id"] for r in spark.table("beats").collect()} <= {"BROKER-1", "BROKER-2"}

@@ -7,6 +7,7 @@ lz4 block has four bytes before it, the length of its content, as the block itse
 from __future__ import annotations
 
 import gzip
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -38,16 +39,21 @@ def configured_codec(name: Column) -> Column:
     return F.when(low.isin(*CODECS), low).otherwise(F.lit("none"))
 
 
+@lru_cache
+def _codec(name: str) -> pa.Codec:
+    return pa.Codec(name)
+
+
 def compress_bytes(codec: str, data: bytes | None) -> bytes | None:
     if not data or codec == "none":
         return data
     if codec == "lz4":
-        return len(data).to_bytes(4, "big") + pa.compress(data, codec="lz4_raw", asbytes=True)
+        return len(data).to_bytes(4, "big") + _codec("lz4_raw").compress(data, asbytes=True)
     if codec == "snappy":  # the raw format carries the length itself
-        return pa.compress(data, codec="snappy", asbytes=True)
+        return _codec("snappy").compress(data, asbytes=True)
     if codec == "gzip":
         return gzip.compress(data, mtime=0)
-    return pa.compress(data, codec="zstd", asbytes=True)  # a frame with its content's size
+    return _codec("zstd").compress(data, asbytes=True)  # a frame with its content's size
 
 
 def decompress_bytes(codec: str, data: bytes | None) -> bytes | None:
@@ -60,7 +66,7 @@ def decompress_bytes(codec: str, data: bytes | None) -> bytes | None:
             shift += 7
             if b < 0x80:
                 break
-        return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True)
+        return _codec("snappy").decompress(data, decompressed_size=size, asbytes=True)
     if codec == "gzip":
         return gzip.decompress(data)
     if codec == "zstd":
@@ -70,11 +76,11 @@ def decompress_bytes(codec: str, data: bytes | None) -> bytes | None:
             size = -1
         if size <= 0:
             raise ValueError("unknown length of zstd data")
-        return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+        return _codec("zstd").decompress(data, decompressed_size=size, asbytes=True)
     size = int.from_bytes(data[:4], "big")
     if size <= 0:
         raise ValueError("unknown length of lz4 data")
-    return pa.decompress(data[4:], decompressed_size=size, codec="lz4_raw", asbytes=True)
+    return _codec("lz4_raw").decompress(data[4:], decompressed_size=size, asbytes=True)
 
 
 @F.pandas_udf(BinaryType())

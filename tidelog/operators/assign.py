@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.order import ranked
+from tidelog.runtime import cut, small
 
 
 def universe(topics: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def assign_range(members: DataFrame, topics: DataFrame) -> DataFrame:
 def assign_round_robin(members: DataFrame, topics: DataFrame) -> DataFrame:
     """All partitions by topic and id are dealt to the sorted members in turn."""
     dealt = ranked(universe(topics), "topic", ["partition"], "at")
-    turns = F.broadcast(_ranked_members(members))
+    turns = small(cut(_ranked_members(members)))
     return dealt.join(turns, F.pmod(F.col("at"), F.col("m")) == F.col("i")).select("member", "topic", "partition")
 
 

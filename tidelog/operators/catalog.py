@@ -94,3 +94,16 @@ def as_map(details: DataFrame, owner: str, key: str, fields: list[str]) -> DataF
 def from_map(maps: DataFrame, owner: str, key: str) -> DataFrame:
     """The rows of such maps."""
     return maps.select(owner, F.explode("details").alias(key, "_v")).select(owner, key, "_v.*")
+
+
+def controller_metadata(snapshots: DataFrame, brokers: DataFrame, topics: DataFrame, partitions: DataFrame) -> DataFrame:
+    """(controller_id, snapshot_no, is_active, n_brokers, n_topics, n_partitions) of each cluster's latest listed snapshot.
+
+    Counts are of distinct names in the rows of that snapshot, 0 where it has none; of deliveries that differ, active counts.
+    """
+    keys = ["controller_id", "snapshot_no"]
+    latest = latest_snapshot(snapshots.select(*keys, "is_active")).groupBy(*keys).agg(F.max("is_active").alias("is_active"))
+    for name, rows, of in (("n_brokers", brokers, ["broker_id"]), ("n_topics", topics, ["topic"]), ("n_partitions", partitions, ["topic", "target_partition"])):
+        counts = rows.join(latest.select(*keys), keys, "left_semi").select(*keys, *of).distinct().groupBy(*keys).agg(F.count("*").alias(name))
+        latest = latest.join(counts, keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return latest

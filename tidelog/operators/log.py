@@ -81,6 +81,11 @@ def log_bounds(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def appended_bounds(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same of records that are to be appended to empty partitions: as offsets are dense from 0, counts tell."""
+    return records.groupBy(*keys).agg(F.count("*").alias("n_records")).select(*keys, "n_records", F.lit(0).cast("long").alias("start_offset"), F.col("n_records").alias("end_offset"))
+
+
 def segments(log: DataFrame, keys: Sequence[str], order: str, size: str, cap: int = SEGMENT) -> DataFrame:
     """Adds segment (0, 1...), segment_base_offset and byte_pos (bytes of the segment before the record).
 
@@ -113,6 +118,12 @@ def fetch(log: DataFrame, requests: DataFrame, keys: Sequence[str]) -> DataFrame
     )
 
 
+def fetch_default(log: DataFrame, offset: int, topic: str = "topic", partition: str = "target_partition") -> DataFrame:
+    """The record at an offset of partition 0 of the topic that is first by name; no row if there is none."""
+    first = log.agg(F.min(topic).alias("_t"))  # one row
+    return log.where((F.col(partition) == 0) & (F.col("offset") == offset)).join(F.broadcast(first), F.col(topic) == F.col("_t")).drop("_t")
+
+
 def poll(log: DataFrame, positions: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """At most ``most`` records per partition from its position on (positions: keys..., position), as offsets are dense."""
     at = F.col("position")

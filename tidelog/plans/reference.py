@@ -25,6 +25,7 @@ from tidelog.operators.snapshots import Entity, snapshot_changes
 from tidelog.plans.reference_sql import NOW_MS, SQL  # noqa: F401
 from tidelog.runtime import cut, scratch, small, table
 from tidelog.sources.log_store import commit_offsets, decode, encode, fetch_offsets, read_from, read_log, stamped, stored_log, stream_table
+from tidelog.streaming.heartbeats import heartbeats
 from tidelog.streaming.ingest import ingest_all
 
 KEYS = ["topic", "target_partition"]
@@ -55,6 +56,11 @@ def _rejects(s: SparkSession, d: str, largest: int = L.OVERSIZE) -> DataFrame:
     return L.checked(_records(s, d), table(s, d, "topics"), largest).where("reject is not null")
 
 
+def _bounds(s: SparkSession, d: str) -> DataFrame:
+    rows = L.checked(_records(s, d), table(s, d, "topics")).where("reject is null and arrival_seq is not null")
+    return L.appended_bounds(rows, KEYS)
+
+
 def _stored(s: SparkSession, log: DataFrame) -> DataFrame:
     """The log as it is read back from the shared folder."""
     return stored_log(log, scratch(s, "log"))
@@ -79,7 +85,7 @@ def partition_counts(s: SparkSession, d: str) -> DataFrame:
     """Route, reject, number and count: the whole write path."""
     routed = route(_with_size(_records(s, d)).withColumn("explicit", _wanted()), table(s, d, "topics"), "explicit", "record_key", "arrival_seq")
     kept = L.accept(routed, "size_bytes", "partition", "num_partitions").where("reject is null")
-    return L.log_bounds(L.assign_offsets(kept.select("topic", "partition", "arrival_seq"), ["topic", "partition"], "arrival_seq"), ["topic", "partition"])
+    return L.appended_bounds(kept.where("arrival_seq is not null"), ["topic", "partition"])
 
 
 #: A limit that some records of all data are beyond.
@@ -122,8 +128,7 @@ def publish_ack(s: SparkSession, d: str) -> DataFrame:
 def fetch_at_offset(s: SparkSession, d: str) -> DataFrame:
     """The record in the middle of each partition, and the one past its end."""
     log = _log(s, d)
-    bounds = L.log_bounds(log, KEYS)
-    asked = bounds.select(*KEYS, F.explode(F.array(F.floor(F.col("end_offset") / 2), F.col("end_offset"))).alias("offset"))
+    asked = _bounds(s, d).select(*KEYS, F.explode(F.array(F.floor(F.col("end_offset") / 2), F.col("end_offset"))).alias("offset"))
     return L.fetch(log, asked, KEYS)
 
 
@@ -141,6 +146,11 @@ def poll_stored(s: SparkSession, d: str) -> DataFrame:
     return read_from(log, first["topic"], first["target_partition"], 20, 10).select("arrival_seq", *KEYS, "offset", "record_value")
 
 
+def fetch_default(s: SparkSession, d: str) -> DataFrame:
+    """The record at offset 3 of where reads go that name no place."""
+    return L.fetch_default(_log(s, d), 3).select("arrival_seq", *KEYS, "offset")
+
+
 def _commits(s: SparkSession, d: str) -> DataFrame:
     """Acknowledged records count as committed when they were appended."""
     return _log(s, d).where("ack_status = 'SUCCESS'").select(*KEYS, "offset", F.col("append_ms").alias("commit_ts"))
@@ -149,12 +159,12 @@ def _commits(s: SparkSession, d: str) -> DataFrame:
 def poll_range(s: SparkSession, d: str) -> DataFrame:
     """The next 10 records of each partition from its middle on."""
     log = _log(s, d)
-    positions = L.log_bounds(log, KEYS).select(*KEYS, F.floor(F.col("end_offset") / 2).alias("position"))
+    positions = _bounds(s, d).select(*KEYS, F.floor(F.col("end_offset") / 2).alias("position"))
     return L.poll(log, positions, KEYS, 10).select("arrival_seq", *KEYS, "offset")
 
 
 def consumer_lag(s: SparkSession, d: str) -> DataFrame:
-    return L.lag(L.log_bounds(_log(s, d), KEYS), L.latest_commits(_commits(s, d), KEYS), KEYS)
+    return L.lag(_bounds(s, d), L.latest_commits(_commits(s, d), KEYS), KEYS)
 
 
 def committed_offsets(s: SparkSession, d: str) -> DataFrame:
@@ -439,6 +449,15 @@ def broker_updates(s: SparkSession, d: str) -> DataFrame:
     return C.update_brokers(rows, ["controller_id", "broker_id"], "snapshot_no")
 
 
+def controller_metadata(s: SparkSession, d: str) -> DataFrame:
+    return C.controller_metadata(table(s, d, "snapshots"), table(s, d, "snap_brokers"), table(s, d, "snap_topics"), table(s, d, "snap_partitions"))
+
+
+def heartbeat_source(s: SparkSession, d: str) -> DataFrame:
+    """Ten heartbeats of each broker that snapshots name, a minute apart."""
+    return heartbeats(table(s, d, "snap_brokers").select("broker_id"), NOW_MS, 60_000, 10).drop("cpu_usage")
+
+
 def cluster_metadata(s: SparkSession, d: str) -> DataFrame:
     return C.cluster_metadata(table(s, d, "snap_brokers"), table(s, d, "snap_partitions"))
 
@@ -523,7 +542,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             rejects_stored, stored_offsets, batch_round_robin, fetch_stored, poll_stored, committed_offsets, retry_queue, assign_sticky_contested, group_sync,
-            assignor_choice, protocol_rounds, broker_marks, topics_asked, broker_updates, cluster_metadata, metadata_maps, settings_defaults, settings_checked,
+            assignor_choice, protocol_rounds, broker_marks, topics_asked, broker_updates, cluster_metadata, controller_metadata, heartbeat_source, fetch_default, metadata_maps, settings_defaults, settings_checked,
             stamped_records, partition_counts, route_by_key_hash, route_precedence, rejected_records, assign_offsets, log_bounds, publish_ack, fetch_at_offset, poll_range,
             consumer_lag, segment_roll, offset_index, flush_groups, batch_fill, fill_rejects, in_flight, batch_ready, batch_expired, drain_request, partition_owner,
             broker_partitions, assign_range, assign_round_robin, assign_sticky_initial, assign_sticky_leave, assign_sticky_join, assignment_encoded,

@@ -264,6 +264,16 @@ QUALIFY row_number() OVER (PARTITION BY controller_id, broker_id ORDER BY snapsh
 b AS (SELECT controller_id, broker_id, max({{'address': host || ':' || port, 'num_partitions': num_partitions}}) AS b
   FROM snap_brokers JOIN (SELECT controller_id, max(snapshot_no) AS snapshot_no FROM snap_brokers GROUP BY ALL) USING (controller_id, snapshot_no) GROUP BY ALL)
 SELECT controller_id, broker_id, b.address, b.num_partitions, coalesce(n_owned, 0) AS n_owned FROM b LEFT JOIN n USING (controller_id, broker_id)""",
+    "fetch_default": f"""WITH {LOG} SELECT arrival_seq, topic, target_partition, "offset" FROM log WHERE topic = (SELECT min(topic) FROM log) AND target_partition = 0 AND "offset" = 3""",
+    "heartbeat_source": f"""
+SELECT broker_id, n AS sequence_number, {NOW_MS} + n * 60000 AS timestamp_ms, 0 AS partition_count, 0 AS connection_count, 0::BIGINT AS available_memory
+FROM (SELECT DISTINCT broker_id FROM snap_brokers WHERE broker_id IS NOT NULL), (SELECT unnest(range(10)) AS n)""",
+    "controller_metadata": """
+WITH l AS (SELECT controller_id, max(snapshot_no) AS snapshot_no FROM snapshots GROUP BY ALL),
+a AS (SELECT controller_id, snapshot_no, bool_or(is_active) AS is_active FROM snapshots JOIN l USING (controller_id, snapshot_no) GROUP BY ALL)
+SELECT a.*, (SELECT count(DISTINCT coalesce(broker_id, '')) FROM snap_brokers b WHERE b.controller_id = a.controller_id AND b.snapshot_no = a.snapshot_no) AS n_brokers,
+  (SELECT count(DISTINCT topic) FROM snap_topics b WHERE b.controller_id = a.controller_id AND b.snapshot_no = a.snapshot_no) AS n_topics,
+  (SELECT count(DISTINCT topic || '-' || target_partition) FROM snap_partitions b WHERE b.controller_id = a.controller_id AND b.snapshot_no = a.snapshot_no) AS n_partitions FROM a""",
     "metadata_maps": """
 SELECT DISTINCT controller_id, broker_id, host, port FROM snap_brokers
 JOIN (SELECT controller_id, max(snapshot_no) AS snapshot_no FROM snap_brokers GROUP BY ALL) USING (controller_id, snapshot_no) WHERE broker_id IS NOT NULL""",
