@@ -86,7 +86,7 @@ def assign_sticky(members: DataFrame, topics: DataFrame, previous: DataFrame) ->
     alone = claims.where("_rivals = 0").withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= F.col("share")).select("member", "topic", "partition")
     kinds = ", ".join(f"{c} {claims.schema[c].dataType.simpleString()}" for c in ("member", "topic", "partition"))
     contested = claims.where("_rivals > 0").select("member", "topic", "partition", "topic_pos", "share", F.lit(0).alias("_all"))
-    kept = alone.unionByName(contested.groupBy("_all").applyInPandas(_take_turns, kinds))
+    kept = cut(alone.unionByName(contested.groupBy("_all").applyInPandas(_take_turns, kinds)))
 
     loads = ranks.join(kept.groupBy("member").agg(F.count("*").alias("load")), "member", "left").select("member", F.coalesce("load", F.lit(0)).alias("load"))
     # No partition ever goes to a member that has an even share already, so slots end there.
