@@ -66,16 +66,18 @@ def punctuations(
         grid = seen.unionByName(every).groupBy(*group, "_src", "period").agg(F.min("first_seq").alias("first_seq"), F.max("last_wall").alias("last_wall"))
     by = Window.partitionBy(*group, "_src").orderBy("period")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    # What comes later is taken in descending order, so that each row adds to what is known of those after it.
+    back = Window.partitionBy(*group, "_src").orderBy(F.col("period").desc())
     waits = (
-        grid.withColumn("pass_seq", F.min("first_seq").over(by.rowsBetween(1, Window.unboundedFollowing)))
-        .withColumn("pass_cut", F.min("first_seq").over(by.rangeBetween(lateness_ms + period_ms, Window.unboundedFollowing)))
+        grid.withColumn("pass_seq", F.min("first_seq").over(back.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("pass_cut", F.min("first_seq").over(back.rangeBetween(Window.unboundedPreceding, -(lateness_ms + period_ms))))
         .withColumn("started", F.min("first_seq").over(so_far))
         .where(F.col("started").isNotNull())
     )
     if idle:
         waits = waits.withColumn("tick", F.ceil((F.max("last_wall").over(so_far) + idle.after_ms) / idle.tick_ms))
         ticks = rows.groupBy(*group, F.floor(F.col("_wall") / idle.tick_ms).alias("tick")).agg(F.min("_seq").alias("tick_seq"))
-        ahead = Window.partitionBy(*group).orderBy("tick").rangeBetween(0, Window.unboundedFollowing)
+        ahead = Window.partitionBy(*group).orderBy(F.col("tick").desc()).rangeBetween(Window.unboundedPreceding, 0)
         waits = waits.unionByName(ticks, allowMissingColumns=True).withColumn("timeout", F.min("tick_seq").over(ahead)).where(F.col("period").isNotNull())
     else:
         waits = waits.withColumn("timeout", F.lit(None).cast("long"))
