@@ -57,11 +57,13 @@ _HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u180b-\u180e\u200b-\u200f\
 _MARK = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _PUNCTUATION = "“”„’‘–—…•«»·→`´"
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}@$!013457]([ .\-_·,/])[\p{L}@$!013457](?:\1[\p{L}@$!013457])+(?![\p{L}\p{N}])")
-_SEEMS_SPACED = re.compile(r"(?:^|[\W_])[\w@$!]([ .\-_·,/])[\w@$!]\1[\w@$!](?:$|[\W_])")
+_SEEMS_SPACED = re.compile(r"([ .\-_·,/])[\w@$!]\1[\w@$!](?![^\W_])")
 _LETTER_LIKE = re.compile(r"[ı\u0250-\u02af\u0370-\u052f]")
 _SIGN_RUN = re.compile(r"(?<=[^\W\d_])[{0}]++|(?<![{0}])[{0}]++(?=[^\W\d_])".format(re.escape("".join(_DIGITS))))
+_SIGN_NEAR_LETTER = re.compile(r"[{0}](?:(?<=[^\W\d_].)|(?=[^\W\d_]))".format(re.escape("".join(_DIGITS))))
 _STARRED = regex.compile(rf"(?<![\p{{L}}*#•{_SIGNS}])(?=[^\s*#•]*[*#•])(?=[*#•{_SIGNS}]*\p{{L}})[\p{{L}}*#•{_SIGNS}]+")
 _LONG = re.compile(r"([^\W\d_])\1\1+")
+_LONG_ASCII = re.compile(r"([a-z])\1\1")
 _END = re.compile(r"[.!?…]+(?=\s|$|[\"'”»)\]])|[。！？]|\n[^\S\n]*\n|\n(?=\s*```)")
 #: Stands for the end of a sentence among the folded words (a letter of no living script).
 STOP = "ꙮ"
@@ -194,7 +196,7 @@ class Scorer:
             text = _SPACED.sub(self._joined, text)
         variants = self._unstarred(text) if "*" in text or "#" in text or "•" in text else [text]
         variants = [x for v in variants for x in _unleeted(_END.sub(f" {STOP} ", v))]
-        if _LONG.search(text):
+        if (_LONG_ASCII if text.isascii() else _LONG).search(text):
             variants = [x for v in variants for x in (_LONG.sub(r"\1", v), _LONG.sub(r"\1\1", v))]
         for v in variants:
             yield f" {' '.join(_words(v))} "
@@ -335,7 +337,7 @@ def _leet(word: str, one: str = "i") -> str:
 
 def _unleeted(text: str) -> list[str]:
     """The text with digits and signs within words as letters; a second time if a one may be an i or an l."""
-    if not _SIGN_RUN.search(text):
+    if not _SIGN_NEAR_LETTER.search(text):
         return [text]
     runs = set(_SIGN_RUN.findall(text))
     ones = "il" if any("1" in r for r in runs) else "i"
