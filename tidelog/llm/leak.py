@@ -80,10 +80,9 @@ class _Shard:
         return pa.RecordBatch.from_arrays([*cols, pa.array([self.end], pa.int32())], names=["ids", "starts", "terms", "counts", "places", "size"])
 
 
-def build_index(docs: DataFrame, doc_id: str, text: str, vocabulary: list[str], gap: int) -> tuple[DataFrame, str]:
-    """Stores the postings of a vocabulary in the folder all executors share: (one row per shard, the folder)."""
+def build_index(docs: DataFrame, doc_id: str, text: str, vocabulary: list[str], gap: int, path: str) -> DataFrame:
+    """Stores the postings of a vocabulary under ``path``, one row per shard, and returns what is stored."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
     rows = spread(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
     kind, arrow = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
     given = spark.sparkContext.broadcast(vocabulary)
@@ -102,7 +101,7 @@ def build_index(docs: DataFrame, doc_id: str, text: str, vocabulary: list[str],
 
     schema = f"ids array<{kind}>, starts array<int>, terms array<int>, counts array<int>, places array<int>, size int"
     rows.mapInArrow(run, schema).write.parquet(path)
-    return spark.read.parquet(path), path
+    return spark.read.parquet(path)
 
 
 @dataclass
@@ -261,38 +260,49 @@ def _blocks(items: DataFrame, length: int) -> Iterator[tuple[list, list[list[str
         yield ids, texts
 
 
-def passages(
-    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, prompt: str, length: int, edits: int, short: bool
+def _looked_up(
+    docs: DataFrame, doc_id: str, text: str, known: dict[str, int], items: list[list[int]], ids: list, schema: str, item_type: pa.DataType, asked: tuple[int, int, bool]
 ) -> DataFrame:
-    """(doc_id, item_id, n_terms): passages of ``length`` words of an item with at most ``edits`` of them different."""
+    """(doc, item, n_terms) of a block of items. Its index is removed in any case; the result is stored."""
     spark = docs.sparkSession
-    given = items.where(F.col(item_id).isNotNull() & F.col(prompt).isNotNull()).select(F.col(item_id).alias("id"), F.col(prompt).alias("prompt")).distinct()
-    doc_type, item_type = docs.schema[doc_id].dataType, items.schema[item_id].dataType
-    schema = f"doc {doc_type.simpleString()}, item {item_type.simpleString()}, n_terms int"
-    item_arrow = to_arrow_type(item_type)
-    found: list[DataFrame] = []
-    for ids, texts in _blocks(given, length):
-        known: dict[str, int] = {}
-        numbered = [[known.setdefault(w, len(known)) for w in ws] for ws in texts]
-        index, path = build_index(docs, doc_id, text, list(known), length + _SLACK)
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    try:
+        index = build_index(docs, doc_id, text, list(known), asked[0] + _SLACK, path)
         counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts").alias("n"))
         frequency = np.zeros(len(known), np.int64)
         for r in counts.toLocalIterator():  # as many as the block has distinct words
             frequency[r["terms"]] = r["n"]
-        plan = spark.sparkContext.broadcast((_plan(numbered, frequency, length, edits, short), ids))
+        plan = spark.sparkContext.broadcast((_plan(items, frequency, *asked), ids))
 
-        def run(batches: Iterator[pa.RecordBatch], plan=plan) -> Iterator[pa.RecordBatch]:
-            asked, item_ids = plan.value
-            item_ids = pa.array(item_ids, item_arrow)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            looked_for, item_ids = plan.value
+            item_ids = pa.array(item_ids, item_type)
             for b in batches:
                 for k in range(b.num_rows):
                     shard = {c: b.column(c)[k].values.to_numpy() for c in ("starts", "terms", "counts", "places")} | {"size": b.column("size")[k].as_py()}
-                    doc, item, agree = _search(shard, asked)
+                    doc, item, agree = _search(shard, looked_for)
                     columns = [b.column("ids")[k].values.take(pa.array(doc)), item_ids.take(pa.array(item)), pa.array(agree.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "n_terms"])
 
-        found.append(cut(index.mapInArrow(run, schema).groupBy("doc", "item").agg(F.max("n_terms").alias("n_terms"))))
+        return cut(index.mapInArrow(run, schema).groupBy("doc", "item").agg(F.max("n_terms").alias("n_terms")))
+    finally:
         remove(spark, path)
+
+
+def passages(
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, prompt: str, length: int, edits: int, short: bool
+) -> DataFrame:
+    """(doc_id, item_id, n_terms): passages of ``length`` words of an item with at most ``edits`` of them different."""
+    spark = docs.sparkSession
+    given = items.where(F.col(item_id).isNotNull() & F.col(prompt).isNotNull()).select(F.col(item_id).alias("id"), F.col(prompt).alias("prompt")).distinct()
+    doc_type, item_type = docs.schema[doc_id].dataType, items.schema[item_id].dataType
+    schema = f"doc {doc_type.simpleString()}, item {item_type.simpleString()}, n_terms int"
+    item_arrow = to_arrow_type(item_type)
+    found: list[DataFrame] = []
+    for ids, texts in _blocks(given, length):
+        known: dict[str, int] = {}
+        numbered = [[known.setdefault(w, len(known)) for w in ws] for ws in texts]
+        found.append(_looked_up(docs, doc_id, text, known, numbered, ids, schema, item_arrow, (length, edits, short)))
     out = spark.createDataFrame([], schema) if not found else found[0]
     for f in found[1:]:
         out = out.unionByName(f)
